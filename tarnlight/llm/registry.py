@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontam, jaccard, packing, shards
+from . import attribution, decontam, jaccard, packing, secrets, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sequence_digest(shards.shard_blobs(shards.ordered(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_decontamination, op6_jaccard_join, op9_training_order)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_decontamination, op4_secret_scan, op6_jaccard_join, op9_training_order)}
 ORACLE_SQL = {"op3_decontamination": decontam.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL}
