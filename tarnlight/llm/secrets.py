@@ -139,7 +139,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = [r.name for r in BASE]
     base = F.filter("spans", lambda x: x["kind"].isin(names))
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda x, n=n: x["kind"] == n)).cast("long").alias(f"n_{n}") for n in names]
+    count = lambda name: F.size(F.filter("spans", lambda x: x["kind"] == name)).cast("long").alias(f"n_{name}")
+    counts = [count(n) for n in names]
     return found.select(id_col, *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
