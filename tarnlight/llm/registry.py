@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontam, jaccard, packing, secrets, shards
+from . import attribution, decontam, jaccard, packing, quality, secrets, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sequence_digest(shards.shard_blobs(shards.ordered(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_decontamination, op4_secret_scan, op6_jaccard_join, op9_training_order)}
-ORACLE_SQL = {"op3_decontamination": decontam.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_decontamination, op4_secret_scan, op5_quality_rules, op6_jaccard_join, op9_training_order)}
+ORACLE_SQL = {"op3_decontamination": decontam.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL}
