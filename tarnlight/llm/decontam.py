@@ -187,7 +187,7 @@ def find_windows(docs: DataFrame, text_col: str, carry: list[str], wins: Broadca
                     hits[r], items[r] = spans, sorted(met)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array(x, f.type) for x, f in zip((np.concatenate(n_words) if n_words else [], hits, items), list(arrow)[len(carry) :]))], schema=arrow)
 
-    return docs.select(*carry, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").cast("string").alias("__tl_text")).mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, size: int = 10, shingle: int = 5, block_windows: int = 500_000) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontam, jaccard, linedup, packing, quality, secrets, shards, urlrules
+from . import attribution, decontam, htmldiff, jaccard, linedup, packing, quality, secrets, shards, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,9 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sequence_digest(shards.shard_blobs(shards.ordered(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_decontamination, op4_secret_scan, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_line_dedup, op9_training_order)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmldiff.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_decontamination, op4_secret_scan, op5_quality_rules, op6_jaccard_join, op7_url_filters, op8_line_dedup, op9_training_order, op10_html_extraction)}
 ORACLE_SQL = {"op3_decontamination": decontam.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL, "op7_url_filters": urlrules.ORACLE_SQL, "op8_line_dedup": linedup.ORACLE_SQL}
