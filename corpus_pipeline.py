@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return
 the columns of documents; the last returns packed pieces.
   quality_rules              documents that the base rules or the adaptive limits reject go
-  line_dedup                 repeated passages go, but for their first occurrence; texts and n_chars are updated
+  line_dedup                 repeated passages go, but for their first occurrence; texts and n_chars are updated;
+                             a document of which nothing is left goes
   jaccard_join               of each group of similar documents the one with the smallest id stays
   benchmark_decontamination  documents that contain a benchmark window go
   packing                    what is left becomes sequences of at most 2048 tokens
@@ -26,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = linedup.dedup_lines(docs).select(docs.columns)
+    done = linedup.dedup_lines(docs)
+    done = done.where((F.col("__l_removed_chunks") == 0) | F.col("text").rlike(linedup.FILLED)).select(docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
