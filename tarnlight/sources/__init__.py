@@ -1,0 +1 @@
+"""Reading tables from files."""
