@@ -30,7 +30,7 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
             x, y = _both(number(a), number(b))
             aggs += [F.count(x).alias(f"n_{i}"), F.covar_pop(x, y).alias(f"c_{i}"), F.stddev_pop(x).alias(f"x_{i}"), F.stddev_pop(y).alias(f"y_{i}")]
             r = ratio(F.col(f"c_{i}"), F.col(f"x_{i}") * F.col(f"y_{i}"))
-            rows.append({"var1": F.lit(a), "var2": F.lit(b), "n": F.col(f"n_{i}"), "r": F.when(F.col(f"n_{i}") >= LEAST_ROWS, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))})
+            rows.append({"var1": F.lit(a), "var2": F.lit(b), "n": F.col(f"n_{i}"), "r": F.when((F.col(f"n_{i}") >= LEAST_ROWS) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))})
         got = stacked(df.agg(*aggs), rows)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, r double")

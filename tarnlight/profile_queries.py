@@ -34,15 +34,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to some digits, as sums in another order differ in the last ones."""
-    return df.select(*(F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles to some digits, as sums in another order differ in the last ones; a negative zero becomes zero."""
+    return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _numeric_sql(source: str, columns: list[str], digits: int = 6) -> str:
-    r = lambda x, a: f"round({x}, {digits}) AS {a}"
+    r = lambda x, a: f"round({x}, {digits}) + 0 AS {a}"
     one = lambda c: f"""SELECT '{c}' AS "column", count(x) AS count, count(*) - count(x) AS missing, {r("avg(x)", "mean")}, {r("quantile_cont(x, 0.5)", "median")}, {r("stddev_samp(x)", "std")}, {r("min(x)", "min")}, {r("quantile_cont(x, 0.25)", "q25")}, {r("quantile_cont(x, 0.75)", "q75")}, {r("max(x)", "max")}, {r("quantile_cont(x, 0.75) - quantile_cont(x, 0.25)", "iqr")}, {r("skewness(x)", "skewness")}, {r("kurtosis(x)", "kurtosis")}, {r("CASE WHEN avg(x) = 0 THEN 0 ELSE stddev_samp(x) / avg(x) * 100 END", "cv")}, count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x < 0) AS negatives FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {source})"""
     return " UNION ALL ".join(one(c) for c in columns)
 

@@ -23,8 +23,14 @@ def load_csv(spark: SparkSession, path: str | Path, *, sep: str | None = None, c
     charset = charset or detect.encoding(path)
     sep = sep or detect.delimiter(path, charset)
     decimal = decimal or detect.decimal_sign(path, sep, charset)
-    # cp1252 goes by its registered Java name
-    df = spark.read.csv(_real(path), header=True, sep=sep, encoding={"cp1252": "windows-1252"}.get(charset, charset), inferSchema=True, multiLine=True, escape='"')
+    windows = charset.lower().replace("-", "").replace("_", "") in ("cp1252", "windows1252")
+    # the reader takes few encodings: cp1252 is read as latin-1, and the characters where the two differ are put right
+    df = spark.read.csv(_real(path), header=True, sep=sep, encoding="iso-8859-1" if windows else charset, inferSchema=True, multiLine=True, escape='"')
+    if windows:
+        pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        wrong, right = ("".join(x) for x in zip(*((a, b) for a, b in pairs if b)))
+        table = str.maketrans(wrong, right)
+        df = df.select(*((F.translate(col(c), wrong, right) if is_text(df, c) else col(c)).alias(c.translate(table)) for c in df.columns))
     if decimal == ",":
         written = r"^\s*[+-]?\d+(,\d+)?([eE][+-]?\d+)?\s*$"
         text = [c for c in df.columns if is_text(df, c)]
