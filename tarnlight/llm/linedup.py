@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs with the new text, and __l_lines (lines before), __l_removed_lines, __l_removed_chunks."""
     th = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
     ident = [F.col(f"`{id_col}`").alias("__l_id"), th.alias("__l_th")]
-    passages = chunked(docs, ident, text_col, long_words).select("__l_id", "__l_th", F.explode(F.filter("__l_chunks", lambda c: c["passage"])).alias("c"))
+    passages = chunked(docs, ident, text_col, long_words).select("__l_id", "__l_th", F.explode_outer(F.filter("__l_chunks", lambda c: c["passage"])).alias("c")).where("c IS NOT NULL")
     passages = passages.select("__l_id", "__l_th", F.col("c.k").alias("k"), F.col("c.text").alias("text"), F.xxhash64("c.text").alias("h"))
     often = passages.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     repeated = passages.join(often, "h", "left_semi")
@@ -71,8 +71,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = F.transform("__l_stay", lambda k: F.get("__l_chunks", k))
     lines = F.aggregate(F.transform(kept, lambda c: c["n"]), F.lit(0).cast("long"), lambda a, x: a + x)
     new = F.when(F.col("__l_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
-    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return df.select(*out, "__l_lines", (F.col("__l_lines") - F.coalesce(lines, F.col("__l_lines"))).alias("__l_removed_lines"), F.coalesce(F.size("__l_gone"), F.lit(0)).cast("long").alias("__l_removed_chunks"))
+    made = F.struct(new.alias("text"), (F.col("__l_lines") - F.coalesce(lines, F.col("__l_lines"))).alias("lines"), F.coalesce(F.size("__l_gone"), F.lit(0)).cast("long").alias("chunks"))
+    # a generator, so that no later filter is pushed below and put together from all the steps above again and again
+    df = df.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), "__l_lines", F.explode(F.array(made)).alias("__l_new"))
+    out = [F.col("__l_new.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return df.select(*out, "__l_lines", F.col("__l_new.lines").alias("__l_removed_lines"), F.col("__l_new.chunks").alias("__l_removed_chunks"))
 
 
 def digest(done: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
