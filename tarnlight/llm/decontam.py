@@ -169,6 +169,8 @@ def find_windows(docs: DataFrame, text_col: str, carry: list[str], wins: Broadca
                     row = np.searchsorted(bounds, np.repeat(at, n), side="right") - 1
                     fits = (start >= bounds[row]) & (start + length[win] <= bounds[row + 1])
                     pairs.append(np.stack([row[fits], start[fits] - bounds[row[fits]], win[fits]]))
+                if not pairs:
+                    continue
                 row, start, win = np.concatenate(pairs, axis=1)
                 order = np.lexsort((start, row))
                 row, start, win = row[order], start[order], win[order]
@@ -212,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def _disjoint(hits):
     """Sorted disjoint [from, to) pairs of pairs in any order."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(hits) / 2 - 1), lambda i: F.struct(hits[(2 * i).cast("int")].alias("a"), hits[(2 * i + 1).cast("int")].alias("b"))))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size(hits) / 2 - 1).cast("int")), lambda i: F.struct(F.get(hits, 2 * i).alias("a"), F.get(hits, 2 * i + 1).alias("b"))))
     merged = F.aggregate(
         pairs,
         F.array().cast("array<long>"),

@@ -256,7 +256,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ship(docs.sparkSession)
     each = materialise(describe(docs, id_col, text_col, size), "shingles")
     have = each.where("key IS NOT NULL")
-    classes = materialise(have.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialise(have.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64(key, 1))").alias("y")).where("size > 1")
@@ -275,7 +275,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = connected_components(found)
 
     links = found.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
-    named = classes.select("key", "copies", F.col("own.id").alias("id"), "n").join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = classes.select("key", "copies", "id").join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(names, "component").select("key", "copies", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = each.select("id", "key").join(named, "key", "left")
