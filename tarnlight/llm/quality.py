@@ -9,7 +9,8 @@
 4. A rate's upper limit is median + spread * (third quartile - median) + slack, and for the mean word length there
    is a lower limit in the same way. Slack keeps clean groups, where most rates are 0, from strict limits.
 5. Limits are joined to the documents by language and source; a document over any limit is rejected.
-The joined table has one row for each language and source; the engine broadcasts it only under its size limit.
+The joined table has one row for each language and source. They are counted, and up to `BROADCAST_GROUPS` rows
+are broadcast, so the documents aren't shuffled; more are joined by shuffle, where the engine splits hot groups.
 
 Defined cases: a null or empty text has no words and fails the base; null languages and sources are values of
 their own; a null id is carried; repeated rows are judged alike; other columns are kept where asked for (names
@@ -27,6 +28,7 @@ from .scratch import materialise
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW, LEAST_WORDS, MOST_REPEAT = 8, 20, 30
 LEAST_DOCS, SPREAD = 100, 6
+BROADCAST_GROUPS = 50_000  # rows of the table of limits that is broadcast; beyond, the join shuffles
 #: name -> (numerator, denominator, factor, slack)
 RATES = {
     "symbols": ("n_symbols", "n_words", 1000, 200),
@@ -128,6 +130,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     names = [f"high_{n}" for n in RATES] + ["low_length"]
     pick = lambda n: F.when(F.col("__q_a_n") >= LEAST_DOCS, F.col(f"__q_a_{n}")).when(F.col("__q_b_n") >= LEAST_DOCS, F.col(f"__q_b_{n}")).otherwise(F.col(f"__q_c_{n}")).alias(q(n))
     table = pairs.select(F.col("g_lang").alias("__q_lang"), F.col("g_source").alias("__q_source"), *map(pick, names))
+    if fine.select("g_lang", "g_source").distinct().count() <= BROADCAST_GROUPS:
+        table = F.broadcast(table)
     joined = counts.join(table, lang.eqNullSafe(F.col("__q_lang")) & source.eqNullSafe(F.col("__q_source")), "left")
     over = F.lit(False)
     for name in RATES:
