@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .scratch import ship
+from .scratch import ship, spread
 from .tokens import default_tokenizer, encoder
 
 Sections = list[tuple[str, int, int]]
@@ -111,4 +111,4 @@ def attribute_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))).mapInArrow(run, schema)

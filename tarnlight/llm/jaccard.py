@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrowtext import chunks, mix, shingle_sets, stream, text_buffers
 from .components import connected_components
-from .scratch import materialise, ship
+from .scratch import materialise, ship, spread
 
 BANDS, ROWS, SKETCH, STEP = 32, 4, 64, 16
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
@@ -75,7 +75,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x, f.type) for x, f in zip((key, n, bands, sketch), list(arrow)[2:]))], schema=arrow)
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))).mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=16)

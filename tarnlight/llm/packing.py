@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .scratch import ship
+from .scratch import ship, spread
 from .tokens import EOS_ID, default_tokenizer, encoder
 
 OUT = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_tokens")
@@ -158,4 +158,4 @@ def pack_documents(
         if p.closed:
             yield out()
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .scratch import materialise
+from .scratch import materialise, spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW, LEAST_WORDS, MOST_REPEAT = 8, 20, 30
@@ -51,7 +51,7 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
     made = [F.col(q(c)) for c in COUNTS]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # steps are projections of their own: arrays that several expressions read are made once
-    df = docs.select(*keep, text.alias(q("text")))
+    df = spread(docs.select(*keep, text.alias(q("text"))))
     df = df.select(*keep, q("text"), F.array_remove(F.split(q("text"), SPACE), "").alias(q("words")), F.filter(F.split(q("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(q("list")))
     df = df.select(
         *keep,

@@ -55,3 +55,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(target)
     sc._tarnlight_shipped = True
+
+
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A table of up to `most` bytes dealt over all cores, as one small file is one task; a larger one as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrowtext import chunks, text_buffers
 from .automaton import Automaton, parse, reverse
-from .scratch import ship
+from .scratch import ship, spread
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
                 rows += [[{"kind": rules[k].name, "start": s, "end": e} for s, e, k in own] for own in find.spans(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, arrow.field(1).type)], schema=arrow)
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))).mapInArrow(run, schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

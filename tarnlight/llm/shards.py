@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .arrowtext import mix
-from .scratch import shared_dir, ship
+from .scratch import shared_dir, ship, spread
 from .tokens import EOS_ID, default_tokenizer, encoder
 
 
@@ -79,7 +79,7 @@ def sequences(docs: DataFrame, *, text_col: str = "text", stride: int = 2048, to
         if len(rest):
             yield rows(np.concatenate([rest, np.full(stride - len(rest), eos_id, width)]), [len(rest)])
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "part long, local long, n_tokens long, ids binary")
+    return spread(docs.select(F.col(text_col).cast("string").alias("t"))).mapInArrow(run, "part long, local long, n_tokens long, ids binary")
 
 
 def ordered(docs: DataFrame, *, key: int = 20240229, shard_sequences: int = 256, **options) -> DataFrame:
