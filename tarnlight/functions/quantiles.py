@@ -25,6 +25,11 @@ def small(df: DataFrame, most: int = DIRECT_BYTES) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
 
 
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A small table dealt over all cores, as one small file is one task; a larger one is left as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small(df, most) else df
+
+
 def percentile(x: Column, q: float | list[float]) -> Column:
     return F.percentile(x, F.array(*map(F.lit, q)) if isinstance(q, list) else F.lit(q))
 

@@ -23,62 +23,64 @@ def path_constant(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + EULER) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+BLOCK = 4096  # rows scored together, so that their values stay in the processor's cache
+
+
 @dataclass
 class Forest:
+    """Trees as full binary trees of one depth: node k has children 2k + 1 and 2k + 2.
+
+    Where a tree ends early, its nodes below split on nothing and all lead to the same path length.
+    """
+
     columns: list[str]
     sample: int
-    # node tables of all trees: split column (-1 for a leaf), split value, left child, right child, path length at a leaf
-    column: np.ndarray
-    value: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    depth: np.ndarray
-    roots: np.ndarray
+    column: np.ndarray  # tree, node: the column it splits on
+    value: np.ndarray  # tree, node: values up to it go left
+    length: np.ndarray  # tree, leaf: path length
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """In (0, 1]: the higher, the more isolated."""
-        total = np.zeros(len(rows))
-        every = np.arange(len(rows))
-        for root in self.roots:
-            node = np.full(len(rows), root)
-            while True:
-                split = self.column[node]
-                inner = split >= 0
-                if not inner.any():
-                    break
-                at = every[inner]
-                here = node[inner]
-                low = rows[at, split[inner]] <= self.value[here]
-                node[inner] = np.where(low, self.left[here], self.right[here])
-            total += self.depth[node]
-        return 2.0 ** (-total / len(self.roots) / max(float(path_constant(self.sample)), 1e-12))
+        inner = self.column.shape[1]
+        levels = (inner + 1).bit_length() - 1
+        out = np.empty(len(rows))
+        for a in range(0, len(rows), BLOCK):
+            part = np.ascontiguousarray(rows[a : a + BLOCK].T)
+            n = part.shape[1]
+            flat, at = part.ravel(), np.arange(n)
+            total = np.zeros(n)
+            for column, value, length in zip(self.column * n, self.value, self.length):
+                node = np.zeros(n, np.int64)
+                for _ in range(levels):
+                    right = flat.take(column.take(node) + at) > value.take(node)
+                    node = 2 * node + 1 + right
+                total += length.take(node - inner)
+            out[a : a + BLOCK] = total
+        return 2.0 ** (-out / len(self.column) / max(float(path_constant(self.sample)), 1e-12))
 
 
 def grow(data: np.ndarray, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
     rng = np.random.default_rng(seed)
     size = min(sample, len(data))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    nodes: list[tuple] = []
-    roots = []
-    for _ in range(trees):
-        todo = [(data[rng.choice(len(data), size, replace=False)], 0, len(nodes))]
-        roots.append(len(nodes))
-        nodes.append(None)
+    inner = 2**limit - 1
+    column, value, length = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
+    for t in range(trees):
+        todo = [(data[rng.choice(len(data), size, replace=False)], 0, 0)]
         while todo:
             rows, depth, at = todo.pop()
             spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
             if depth >= limit or not len(spread):
-                nodes[at] = (-1, 0.0, -1, -1, depth + float(path_constant(len(rows))))
+                # the leaves below node `at`, all at the last level
+                first = (at + 1) * 2 ** (limit - depth) - 1 - inner
+                length[t, first : first + 2 ** (limit - depth)] = depth + float(path_constant(len(rows)))
                 continue
             c = int(rng.choice(spread))
             v = float(rng.uniform(rows[:, c].min(), rows[:, c].max()))
+            column[t, at], value[t, at] = c, v
             low = rows[:, c] <= v
-            left, right = len(nodes), len(nodes) + 1
-            nodes += [None, None]
-            nodes[at] = (c, v, left, right, 0.0)
-            todo += [(rows[low], depth + 1, left), (rows[~low], depth + 1, right)]
-    kinds = (np.int64, float, np.int64, np.int64, float)
-    return Forest(columns, size, *(np.array(x, dtype=t) for x, t in zip(zip(*nodes), kinds)), np.array(roots))
+            todo += [(rows[low], depth + 1, 2 * at + 1), (rows[~low], depth + 1, 2 * at + 2)]
+    return Forest(columns, size, column, value, length)
 
 
 def fit_forest(complete: DataFrame, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:

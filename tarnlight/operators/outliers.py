@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, number
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, spread
 from .forest import Forest, fit_forest, score
 from .quality import top_values
 
@@ -117,6 +117,7 @@ class OutlierReport:
 
 def analyze_outliers(df: DataFrame, columns: list[str], *, multiplier: float = MULTIPLIER, z: float = Z, forest: bool = True, contamination: float | None = None) -> OutlierReport:
     """All methods at once; rows are flagged in place, so no list of rows reaches the driver."""
+    df = spread(df)
     f, d = fences(df, columns, multiplier), deviations(df, columns)
     out = OutlierReport(f, d, {}, {})
     flags = {f"iqr_{c}": beyond_fence(f[c]) for c in columns} | {f"mad_{c}": beyond_deviation(d[c], z) for c in columns}
@@ -129,7 +130,7 @@ def analyze_outliers(df: DataFrame, columns: list[str], *, multiplier: float = M
             out.forest_note = f"not applied: {n} complete rows, {LEAST_FOREST} are needed"
         else:
             out.forest = fit_forest(complete, columns)
-            table = score(df, out.forest, "__forest_score")
+            table = score(df, out.forest, "__forest_score").persist()  # scored once for the cut and for the flags
             s = number("__forest_score")
             if contamination is not None:
                 share = min(contamination, 0.5)

@@ -63,6 +63,15 @@ LABELS = {
 }
 
 
+STORAGE = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "bool", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "string": "text"}
+
+
+def storage_label(df: DataFrame, name: str) -> str:
+    """int, float, bool, date, duration, text or the type's own name."""
+    kind = dict(df.dtypes)[name]
+    return STORAGE.get(kind, "float" if kind.startswith("decimal") else "duration" if kind.startswith("interval") else kind)
+
+
 def is_key_name(name: str) -> bool:
     return bool(KEY_NAME.search(name) or KEY_TAIL.search(name))
 
@@ -130,8 +139,13 @@ def _counters(df: DataFrame, names: list[str], order: str | None) -> set[str]:
     if not names:
         return set()
     if order is None:
-        row = df.agg(*(f.alias(f"{k}_{i}") for i, c in enumerate(names) for k, f in (("n", F.count(col(c))), ("d", F.count_distinct(col(c))), ("w", F.max(col(c)) - F.min(col(c)))))).first()
-        return {c for i, c in enumerate(names) if row[f"n_{i}"] > 1 and row[f"d_{i}"] == row[f"n_{i}"] and 0 < row[f"w_{i}"] and (row[f"n_{i}"] - 1) / float(row[f"w_{i}"]) >= SEQUENCE}
+        row = df.agg(*(f.alias(f"{k}_{i}") for i, c in enumerate(names) for k, f in (("n", F.count(col(c))), ("w", F.max(col(c)) - F.min(col(c)))))).first()
+        # as many distinct values can't be in a span much wider or narrower than the rows
+        dense = [c for i, c in enumerate(names) if row[f"n_{i}"] > 1 and 0 < row[f"w_{i}"] and SEQUENCE <= (row[f"n_{i}"] - 1) / float(row[f"w_{i}"]) <= 1]
+        if not dense:
+            return set()
+        seen = df.agg(*(f for c in dense for f in (F.count(col(c)), F.count_distinct(col(c))))).first()
+        return {c for i, c in enumerate(dense) if seen[2 * i] == seen[2 * i + 1]}
     w = Window.orderBy(order)
     steps = df.select(*((col(c) - F.lag(col(c)).over(w)).alias(f"s{i}") for i, c in enumerate(names)))
     row = steps.agg(*(f.alias(f"{k}_{i}") for i in range(len(names)) for k, f in (("n", F.count(f"s{i}")), ("one", F.count_if(F.col(f"s{i}") == 1))))).first()
@@ -146,10 +160,14 @@ def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, *, discr
         x = col(c)
         text = x.cast("string")
         truth = text.isin(*TRUTHS) if is_text(df, c) else x.cast("double").isin(0.0, 1.0) if is_number(df, c) else F.lit(isinstance(df.schema[c].dataType, BooleanType))
-        aggs += [F.count(x).alias(f"n_{i}"), F.count_distinct(text).alias(f"d_{i}"), F.count_if(x.isNotNull() & ~truth).alias(f"b_{i}")]
+        aggs += [F.count(x).alias(f"n_{i}"), F.approx_count_distinct(x, 0.02).alias(f"d_{i}"), F.count_if(x.isNotNull() & ~truth).alias(f"b_{i}")]
         if is_text(df, c):
             aggs += [F.avg(F.length(x)).alias(f"l_{i}"), F.count_if(x.rlike(CODE)).alias(f"c_{i}"), F.count_if(x.rlike(MIXED_CODE)).alias(f"m_{i}")]
-    row = df.agg(*aggs).first()
+    row = df.agg(*aggs).first().asDict()
+    # sketches leave few columns near a rule's limit; those are counted exactly
+    close = [i for i, c in enumerate(names) if row[f"n_{i}"] and any(abs(row[f"d_{i}"] - at) <= 2 + 0.15 * at for at in ((1, discrete) if is_number(df, c) else (1, discrete, codes, 0.9 * row[f"n_{i}"], FREE_TEXT * row[f"n_{i}"])))]
+    if close:
+        row |= df.agg(*(F.count_distinct(col(names[i])).alias(f"d_{i}") for i in close)).first().asDict()
     out: dict[str, str] = {}
     counters_wanted, probe = [], []
     for i, c in enumerate(names):

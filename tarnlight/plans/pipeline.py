@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..functions.quantiles import spread
 from ..operators import charts as chart_data
 from ..operators import collinearity, outliers, quality, relationships, shape, target, univariate
 from ..operators.types import apply_overrides, infer_types
@@ -189,7 +190,7 @@ def analyze(df: DataFrame, config: Config | None = None, *, charts: bool = True,
         near = difflib.get_close_matches(wanted, df.columns)
         raise ValueError(f"no column {wanted!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
     t = wanted if wanted in df.columns else None
-    df = df.persist()
+    df = spread(df).persist()
     try:
         a.rows = df.count()
 
@@ -275,14 +276,22 @@ class Pipeline:
         return chart_data.sample(df, c.sample_size) if c.sample_size else df
 
     def one(self, path: Path, name: str, folder: Path, batch_run: bool = False) -> dict:
-        from .report import page
+        from .report import chart, file_name, page
         from .tables import write_tables
 
         began = time.time()
         a = analyze(self._load(path), self.config, batch_run=batch_run)
         folder.mkdir(parents=True, exist_ok=True)
         html, tables = folder / "report.html", []
-        for step, run in (("tables", lambda: tables.extend(write_tables(a, folder / "tables"))), ("html_report", lambda: html.write_text(page(a, name, self.run_id), encoding="utf-8"))):
+        drawn: set[str] = set()
+
+        def draw() -> None:
+            (folder / "charts").mkdir(exist_ok=True)
+            for label, data in a.charts.items():
+                if (svg := chart(label, data)).startswith("<svg"):
+                    (folder / "charts" / f"{file_name(label, drawn)}.svg").write_text(svg.replace("<svg ", '<svg xmlns="http://www.w3.org/2000/svg" ', 1).split("</svg>")[0] + "</svg>", encoding="utf-8")
+
+        for step, run in (("chart_files", draw), ("tables", lambda: tables.extend(write_tables(a, folder / "tables"))), ("html_report", lambda: html.write_text(page(a, name, self.run_id), encoding="utf-8"))):
             try:
                 run()
             except Exception:
@@ -293,7 +302,7 @@ class Pipeline:
         target_file = folder / "summary.json"
         target_file.write_text(json.dumps(summary(a, name, self.run_id), ensure_ascii=False, indent=1), encoding="utf-8")
         log.info("%s done in %.1f s", name, time.time() - began)
-        return {"success": True, "dataset_name": name, "output_dir": str(folder), "html_report": str(html) if html.exists() else None, "summary_json": str(target_file), "tables": tables, "n_alerts": len(a.quality.alerts), "n_plots": len(a.charts), "failed_steps": a.failed}
+        return {"success": True, "dataset_name": name, "output_dir": str(folder), "html_report": str(html) if html.exists() else None, "summary_json": str(target_file), "tables": tables, "n_alerts": len(a.quality.alerts), "n_plots": len(a.charts), "chart_files": sorted(drawn), "failed_steps": a.failed}
 
     def run(self) -> dict[str, dict]:
         if self.spark is None:

@@ -74,6 +74,19 @@ def bar_chart(title: str, items: list[tuple[str, float]]) -> str:
     return _frame(title, "".join(f'<rect x="{10 + i * step:.1f}" y="{220 - 190 * n / top:.1f}" width="{max(1, step - 1):.1f}" height="{190 * n / top:.1f}" fill="#47a"><title>{escape(str(k))}: {escape(measure(n))}</title></rect>' for i, (k, n) in enumerate(items)))
 
 
+def density(bins: list[tuple[float, float, float]]) -> list[float]:
+    """A smooth curve over (low, high, n) bins: a Gaussian kernel of Scott's width on their middles, per bin."""
+    total = sum(n for _, _, n in bins)
+    if not total:
+        return []
+    mid = [(a + b) / 2 for a, b, _ in bins]
+    mean = sum(m * n for m, (_, _, n) in zip(mid, bins)) / total
+    std = math.sqrt(sum((m - mean) ** 2 * n for m, (_, _, n) in zip(mid, bins)) / total)
+    width = std * total**-0.2 or 1.0
+    step = bins[0][1] - bins[0][0]
+    return [sum(n * math.exp(-(((x - m) / width) ** 2) / 2) for m, (_, _, n) in zip(mid, bins)) * step / (width * math.sqrt(2 * math.pi)) for x in mid]
+
+
 def dot_chart(title: str, points: list[tuple[float, float]]) -> str:
     points = [(x, y) for x, y in points if x is not None and y is not None]
     if not points:
@@ -95,7 +108,11 @@ def heat_chart(title: str, values: dict[tuple[str, str], float]) -> str:
 def chart(name: str, data: Any) -> str:
     title = name.replace("_", " ")
     if name.startswith("histogram"):
-        return bar_chart(title, [(measure(r[1]), r[3]) for r in data])
+        bars = bar_chart(title, [(measure(r[1]), r[3]) for r in data])
+        curve = density([(r[1], r[2], r[3]) for r in data])
+        top, step = max((r[3] for r in data), default=0) or 1, 460 / max(1, len(data))
+        line = " ".join(f"{10 + (i + 0.5) * step:.1f},{220 - 190 * min(1, y / top):.1f}" for i, y in enumerate(curve))
+        return bars.replace("</svg>", f'<polyline points="{line}" fill="none" stroke="#a33"/></svg>') if curve else bars
     if name.startswith(("bars", "shares", "periods", "hours")):
         return bar_chart(title, [(str(r[0]), r[1]) for r in data])
     if name.startswith("class_bars"):

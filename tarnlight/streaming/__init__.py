@@ -1,0 +1 @@
+"""Profiling over streams."""
