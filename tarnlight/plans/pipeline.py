@@ -256,7 +256,15 @@ class Pipeline:
 
     def setup(self) -> Pipeline:
         self.config.validate()
-        logging.basicConfig(level=logging.DEBUG if self.config.verbose else logging.INFO, format=f"%(asctime)s {self.run_id} %(levelname)s %(message)s")
+        form, level = f"%(asctime)s {self.run_id} %(levelname)s %(message)s", logging.DEBUG if self.config.verbose else logging.INFO
+        logging.basicConfig(level=level, format=form)
+        folder = Path(self.config.output_dir)
+        folder.mkdir(parents=True, exist_ok=True)
+        to_file = logging.FileHandler(folder / f"run_{self.run_id}.log", encoding="utf-8")
+        to_file.setFormatter(logging.Formatter(form))
+        ours = logging.getLogger("tarnlight")
+        ours.setLevel(level)
+        ours.addHandler(to_file)
         self.spark = self.spark or SparkSession.builder.appName("tarnlight").getOrCreate()
         return self
 

@@ -63,6 +63,10 @@ def numeric_profile_nulls(spark, sf_dir):
     return rounded(univariate.numeric_profile(df, ["l_linenumber", "price"]))
 
 
+def _pearson_sql(source: str, pairs: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in pairs)
+
+
 def _holes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.nullif("l_linenumber", F.lit(3)).alias("a"), F.expr("CASE WHEN l_discount > 0.07 THEN NULL ELSE l_returnflag END").alias("b"), F.expr("CASE WHEN l_linenumber = 3 AND l_discount > 0.07 THEN NULL ELSE l_tax END").alias("c"))
 
@@ -197,6 +201,36 @@ def hour_counts(spark, sf_dir):
     return univariate.hour_counts(table(spark, sf_dir, "events"), "ts")
 
 
+@query("SELECT CAST(h AS INT) AS hour, count(t) AS n FROM generate_series(0, 23) g(h) LEFT JOIN (SELECT hour(ts) AS t FROM events WHERE event_id % 5 <> 0) ON t = h GROUP BY h")
+def time_of_day_hours(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN event_id % 5 = 0 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
+    return univariate.hour_counts(df, "t")
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 5 <> 0) AS count, strftime(min(ts::TIME) FILTER (WHERE event_id % 5 <> 0) + DATE '2000-01-01', '%H:%M:%S') AS earliest, strftime(max(ts::TIME) FILTER (WHERE event_id % 5 <> 0) + DATE '2000-01-01', '%H:%M:%S') AS latest FROM events")
+def time_of_day_stats(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN event_id % 5 = 0 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
+    r = univariate.time_profile(df, "t")
+    return spark.createDataFrame([(r["count"], r["earliest"], r["latest"])], "count long, earliest string, latest string")
+
+
+@query()
+def datetime_frequency(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return spark.createDataFrame([("d", univariate.datetime_frequency(df, "d"))], "column string, frequency string")
+
+
+@query()
+def normality_tests(spark, sf_dir):
+    p = univariate.normality(table(spark, sf_dir, "lineitem"), LINE)
+    return spark.createDataFrame(list(p.items()), "column string, p double")
+
+
+@query("WITH p AS (" + _pearson_sql("lineitem", list(combinations(LINE, 2))) + ") SELECT var1, var2, r FROM p ORDER BY abs(r) DESC LIMIT 2")
+def strongest_pairs(spark, sf_dir):
+    return rounded(charts.strongest_pairs(table(spark, sf_dir, "lineitem"), list(combinations(LINE, 2)), 2))
+
+
 @query("SELECT * FROM (VALUES ('l_orderkey', 'numeric_continuous'), ('l_partkey', 'numeric_continuous'), ('l_suppkey', 'numeric_continuous'), ('l_linenumber', 'numeric_discrete'), ('l_quantity', 'numeric_continuous'), ('l_extendedprice', 'numeric_continuous'), ('l_discount', 'numeric_discrete'), ('l_tax', 'numeric_discrete'), ('l_returnflag', 'categorical'), ('l_linestatus', 'categorical'), ('l_shipdate', 'datetime')) t(\"column\", type)")
 def semantic_types(spark, sf_dir):
     found = types.infer_types(table(spark, sf_dir, "lineitem"))
@@ -248,10 +282,6 @@ def isolation_forest(spark, sf_dir):
     return spark.createDataFrame([(out.forest_count, out.forest_note)], "n_outliers long, note string")
 
 
-def _pearson_sql(source: str, pairs: list[tuple[str, str]]) -> str:
-    return " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in pairs)
-
-
 @query(_pearson_sql("(SELECT nullif(l_linenumber, 3) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)", list(combinations(["l_linenumber", *LINE], 2))))
 def pearson_pairs(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.nullif("l_linenumber", F.lit(3)))
@@ -382,7 +412,7 @@ def log1p_skew(spark, sf_dir):
 _P = [(i - 0.5) / 1000 for i in range(1, 1001)]
 
 
-@query(f"SELECT unnest(generate_series(1, 1000)) AS i, round(unnest(quantile_cont(value, {_P})), 6) AS quantile, round(unnest({[normal_quantile(p) for p in _P]}), 6) AS normal FROM events")
+@query(f"SELECT unnest(generate_series(1, 1000)) AS i, round(unnest(quantile_cont(value, {_P})), 6) AS quantile, round(unnest(CAST({[normal_quantile(p) for p in _P]} AS DOUBLE[])), 6) AS normal FROM events")
 def qq_points(spark, sf_dir):
     theory, seen, *_ = shape.qq_points(table(spark, sf_dir, "events"), F.col("value"))
     return rounded(spark.createDataFrame([(i, float(y), float(x)) for i, (x, y) in enumerate(zip(theory, seen), 1)], "i long, quantile double, normal double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from pathlib import Path
 
@@ -11,7 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, is_text
 from ..operators.charts import sample
-from . import detect
+from . import batch, detect
+
+log = logging.getLogger(__name__)
 
 
 def _real(path: str | Path) -> str:
@@ -108,3 +111,14 @@ def load(spark: SparkSession, path: str | Path, *, sheet: str | int | None = Non
     df = {"csv": load_csv, "parquet": load_parquet, "json": load_json}[kind](spark, path) if kind != "excel" else load_excel(spark, path, sheet)
     df = normalise(df)
     return sample(df, sample_size) if sample_size and df.count() > sample_size else df
+
+
+def load_folder(spark: SparkSession, folder: str | Path, recursive: bool = False) -> dict[str, DataFrame]:
+    """Every supported file of a folder by its name; files that can't be read are logged and left out."""
+    paths, out = batch.discover(folder, recursive), {}
+    for path, name in batch.names_of(paths, folder).items():
+        try:
+            out[name] = load(spark, path)
+        except Exception:
+            log.exception("%s can't be read", path)
+    return out
