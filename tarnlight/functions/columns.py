@@ -47,3 +47,20 @@ def values(df: DataFrame, columns: list[str]) -> DataFrame:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, F.nullif(b, F.lit(0)))
+
+
+def cell_key(name: str) -> Column:
+    """A 128-bit key of a value, null for a null: what is shuffled to count distinct long values."""
+    x = col(name).cast("string")
+    return F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+
+
+def row_key(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit keys of a row: equal rows have equal keys, and a null equals only a null."""
+    cells: list[Column] = []
+    for c in columns:
+        x = col(c)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            x = x + F.lit(0.0)  # a negative zero equals zero
+        cells += [x.isNull(), x]  # hashes pass over nulls, so their places are hashed as well
+    return [F.xxhash64(*cells).alias("__a"), F.xxhash64(F.lit(1), *cells).alias("__b")]

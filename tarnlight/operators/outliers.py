@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, number
 from ..functions.quantiles import exact_quantiles, spread
 from .forest import Forest, fit_forest, score
-from .quality import top_values
 
 MULTIPLIER, Z = 1.5, 3.0
 PINNED_SHARE = 0.25
@@ -46,18 +45,19 @@ def fences(df: DataFrame, columns: list[str], multiplier: float = MULTIPLIER) ->
         return {}
     nums = df.select(*(number(c).alias(f"x{i}") for i, c in enumerate(columns)))
     counts = nums.agg(*(F.count(c) for c in nums.columns)).first()
-    quarts = exact_quantiles(nums, {c: [0.25, 0.75] for c in nums.columns})
-    top = {r["column"]: (float(r["value"]), r["n"]) for r in top_values(nums, nums.columns).collect()}
-    out, again = {}, {}
+    quarts = exact_quantiles(nums, {c: [0.25, 0.5, 0.75] for c in nums.columns})
+    # a value that fills a quarter of a sorted column covers one of these three points, so only they are counted
+    same = nums.agg(*(F.count_if(F.col(c) == F.lit(q).cast("double")) for c in nums.columns for q in quarts[c])).first()
+    out, again, share_of = {}, {}, {}
     for i, c in enumerate(columns):
         f = out[c] = Fence(c)
         x = f"x{i}"
         if counts[i] < LEAST_FENCE:
             continue
-        f.q25, f.q75 = quarts[x]
-        value, n = top[x]
+        f.q25, _, f.q75 = quarts[x]
+        n, value = max((k, q in (f.q25, f.q75), q) for k, q in zip(same[3 * i : 3 * i + 3], quarts[x]))[::2]
         if n / counts[i] >= PINNED_SHARE and value in (f.q25, f.q75):
-            again[c] = (x, value)
+            again[c], share_of[c] = (x, value), n / counts[i] * 100
     if again:
         rest = nums.select(*(F.when(F.col(x) != v, F.col(x)).alias(x) for x, v in again.values()))
         quarts = exact_quantiles(rest, {x: [0.25, 0.75] for x, _ in again.values()})
@@ -65,8 +65,7 @@ def fences(df: DataFrame, columns: list[str], multiplier: float = MULTIPLIER) ->
             q25, q75 = quarts[x]
             if q25 is not None and q75 > q25:
                 f = out[c]
-                share = top[x][1] / counts[columns.index(c)] * 100
-                f.q25, f.q75, f.pinned, f.note = q25, q75, v, f"quartiles without {v:g}, which fills {share:.1f}% of the values"
+                f.q25, f.q75, f.pinned, f.note = q25, q75, v, f"quartiles without {v:g}, which fills {share_of[c]:.1f}% of the values"
     for f in out.values():
         if f.q25 is None:
             continue

@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MOMENTS, col, is_number, is_text, ratio, stacked
-from .univariate import value_counts
+from ..functions.columns import MOMENTS, col, is_number, is_text, ratio, row_key, stacked
+from .univariate import distinct_counts
 
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 EXEMPT = frozenset({"numeric_continuous", "numeric_discrete", "datetime", "time", "boolean", "constant", "identifier"})
@@ -62,23 +61,42 @@ def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def duplicate_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """n_duplicates (rows beyond the first of each group), n_member_rows (all rows of such groups), n_groups."""
+    """n_duplicates (rows beyond the first of each group), n_member_rows (all rows of such groups), n_groups.
+
+    Rows are counted by 128-bit keys, so their cells aren't shuffled.
+    """
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return duplicate_groups(df, columns).agg(zero(F.sum(F.col("n") - 1)).alias("n_duplicates"), zero(F.sum("n")).alias("n_member_rows"), F.count(F.lit(1)).alias("n_groups"))
+    groups = df.groupBy(*row_key(df, columns or df.columns)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return groups.agg(zero(F.sum(F.col("n") - 1)).alias("n_duplicates"), zero(F.sum("n")).alias("n_member_rows"), F.count(F.lit(1)).alias("n_groups"))
+
+
+MAJORITY = 0.6
 
 
 def constants(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.99) -> DataFrame:
-    """column, n_values (a null is one), top_share (the most frequent value that isn't null, over all rows), constant,
-    quasi_constant."""
-    counts = value_counts(df, columns or df.columns)
-    full = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("rows"), F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("top"))
-    full = full.withColumn("top_share", F.col("top") / F.col("rows")).withColumn("constant", F.col("n_values") <= 1)
-    return full.select("column", "n_values", "top_share", "constant", (~F.col("constant") & (F.col("top_share") > threshold)).alias("quasi_constant"))
+    """column, constant, quasi_constant, top_share: the share over all rows of a value with at least 60% of the values,
+    else null. A null counts as a value of its own for `constant`, and never as the top value.
+
+    A value that fills more than half of a column is its median in any order, also in that of its hashes. So one pass
+    of sketches finds the only candidate of each column, and a second one counts it: no value is shuffled.
+    """
+    columns = columns or df.columns
+    # 52 bits of a hash, as the sketch holds doubles
+    keys = df.select(*(F.when(col(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(col(c).cast("string")), 12)).alias(f"k{i}") for i, c in enumerate(columns)))
+    first = keys.agg(*(f.alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("m", F.percentile_approx(f"k{i}", F.lit(0.5), 10_000)), ("lo", F.min(f"k{i}")), ("hi", F.max(f"k{i}"))))).first()
+    aggs = [F.count(F.lit(1)).alias("rows")] + [f.alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count(f"k{i}")), ("t", F.count_if(F.col(f"k{i}") == F.lit(first[f"m{i}"]).cast("long"))))]
+    rows = []
+    for i, c in enumerate(columns):
+        n, top = F.col(f"n{i}"), F.col(f"t{i}")
+        constant = (n == 0) | (F.lit(first[f"lo{i}"] == first[f"hi{i}"]) & (n == F.col("rows")))
+        share = F.when((n > 0) & (top >= MAJORITY * n), ratio(top, F.col("rows")))
+        rows.append({"column": F.lit(c), "constant": constant, "quasi_constant": ~constant & F.coalesce(share > threshold, F.lit(False)), "top_share": share})
+    return stacked(keys.agg(*aggs), rows)
 
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, nunique (nulls don't count), exact; the distinct values of all columns are counted in one shuffle."""
-    return value_counts(df, columns).groupBy("column").agg(F.count("value").alias("nunique"))
+    """column, nunique (nulls don't count); the distinct values of all columns are counted in one shuffle."""
+    return distinct_counts(df, columns)
 
 
 def high_cardinality(df: DataFrame, types: dict[str, str] | None = None, threshold: int = 100) -> DataFrame:
@@ -134,8 +152,3 @@ def analyze_quality(df: DataFrame, types: dict[str, str] | None = None, *, missi
     out.alerts = sort_alerts(out.alerts)
     return out
 
-
-def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value, n of each column's most frequent value that isn't null (the smallest of equals)."""
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return value_counts(df, columns).where("value IS NOT NULL").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")

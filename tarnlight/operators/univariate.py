@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, number, ratio, stacked, values
+from ..functions.columns import cell_key, col, number, ratio, stacked, values
 from ..functions.distributions import normality_k2, shapiro
 from ..functions.quantiles import exact_quantiles, percentile, small
 
@@ -79,6 +79,14 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, nunique: distinct values that aren't null, by 128-bit keys, so that long texts aren't shuffled."""
+    keys = F.array(*(F.struct(F.lit(c).alias("column"), cell_key(c).alias("k")) for c in columns))
+    some = df.select(F.inline(keys)).where("k IS NOT NULL").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    return every.join(some, "column", "left").select("column", F.coalesce("nunique", F.lit(0)).alias("nunique"))
+
+
 def frequency_table(df: DataFrame, columns: list[str], top: int = TOP) -> DataFrame:
     """column, rank, value, n: each column's most frequent values; ties by value. Nulls don't count."""
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -100,7 +108,7 @@ def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     aggs, rows = [F.count(F.lit(1)).alias("n")], []
     medians = None if small(df) else exact_quantiles(df.select(*(F.length(col(c).cast("string")).alias(c) for c in columns)), {c: [0.5] for c in columns}, direct=False)
-    distinct = value_counts(df, columns).where("value IS NOT NULL").groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
+    distinct = distinct_counts(df, columns)
     for i, c in enumerate(columns):
         size = F.length(col(c).cast("string"))
         aggs += [F.count(size).alias(f"count_{i}"), F.avg(size).alias(f"mean_{i}"), F.min(size).alias(f"min_{i}"), F.max(size).alias(f"max_{i}"), F.count_if(size == 0).alias(f"empty_{i}")]

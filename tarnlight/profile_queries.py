@@ -106,7 +106,7 @@ def _parts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_brand AS brand", "CASE WHEN p_partkey % 1000 = 7 THEN 'b' ELSE 'a' END AS nearly", "'x' AS one", "CAST(NULL AS STRING) AS nothing", "CASE WHEN p_size > 1 THEN NULL ELSE 'y' END AS rare")
 
 
-@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_values, round(coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n), 6) AS top_share, count(*) <= 1 AS constant, count(*) > 1 AND coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n) > 0.99 AS quasi_constant FROM (SELECT {c} AS v, count(*) AS n FROM {PARTS} GROUP BY 1)""" for c in ("brand", "nearly", "one", "nothing", "rare")))
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) <= 1 AS constant, count(*) > 1 AND coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n) > 0.99 AS quasi_constant, CASE WHEN max(n) FILTER (WHERE v IS NOT NULL) >= 0.6 * sum(n) FILTER (WHERE v IS NOT NULL) THEN round(max(n) FILTER (WHERE v IS NOT NULL) / sum(n), 6) END AS top_share FROM (SELECT {c} AS v, count(*) AS n FROM {PARTS} GROUP BY 1)""" for c in ("brand", "nearly", "one", "nothing", "rare")))
 def constants_quasi(spark, sf_dir):
     return rounded(quality.constants(_parts(spark, sf_dir)))
 

@@ -60,6 +60,17 @@ def test_duplicates_counts_nulls_as_equal(spark):
     assert rows(quality.duplicate_counts(df)) == [(3, 5, 2)]
 
 
+def test_row_keys_tell_nulls_and_zeros(spark):
+    df = spark.createDataFrame([(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), (None, None, None), (None, None, None)], "a string, b string, c double")
+    assert rows(quality.duplicate_counts(df)) == [(2, 4, 2)]
+
+
+def test_distinct_counts_of_empty_columns(spark):
+    df = spark.createDataFrame([("x", None), ("y", None), ("x", None)], "a string, b string")
+    assert dict(rows(univariate.distinct_counts(df, ["a", "b"]))) == {"a": 2, "b": 0}
+    assert rows(quality.constants(df.limit(0)))[0][1]
+
+
 def test_constants_count_null_as_value(spark):
     df = spark.createDataFrame([("x", "x", None)] * 199 + [("x", None, None)], "one string, gap string, none string")
     r = {x["column"]: x for x in quality.constants(df).collect()}

@@ -71,6 +71,12 @@ def test_batch_names(tmp_path):
     assert batch.skipped_folders(tmp_path) == {"x": 1, "y": 1}
 
 
+def test_load_folder_leaves_out_what_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.json").write_text("{")
+    assert list(load.load_folder(spark, tmp_path)) == ["a"]
+
+
 def test_config():
     c = Config.of(merged({"target": {"target_column": "a"}, "sample_size": 5}, {"target": {"target_type": "regression", "target_column": None}}))
     assert c.target.target_column == "a" and c.target.target_type == "regression" and "iqr_multiplier" in template()
