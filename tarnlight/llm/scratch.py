@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,9 +36,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnlight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have a written folder deleted when the application ends, as lazy results may read it until then."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once for each application, and bound their batches."""
     for name, value in ARROW.items():
@@ -46,6 +55,7 @@ def ship(spark: SparkSession) -> None:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp(prefix="tarnlight-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, "tarnlight_code.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, names in os.walk(top):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .arrowtext import mix
-from .scratch import shared_dir, ship, spread
+from .scratch import drop_at_end, shared_dir, ship, spread
 from .tokens import EOS_ID, default_tokenizer, encoder
 
 
@@ -88,6 +88,7 @@ def ordered(docs: DataFrame, *, key: int = 20240229, shard_sequences: int = 256,
     path = f"{shared_dir(spark)}/tarnlight-sequences-{uuid.uuid4().hex}"
     made = sequences(docs, **options)
     made.write.option("compression", "zstd").parquet(path)
+    drop_at_end(spark, path)
     made = spark.read.schema(made.schema).parquet(path)
     counts = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     total, base = 0, {}
