@@ -11,6 +11,7 @@ from ..functions.columns import col, number
 from ..functions.quantiles import exact_quantiles
 from .relationships import eta_pairs, pearson_pairs
 
+#: Bins, categories, seed and the rows, columns, periods and classes that charts take.
 BINS, TOP, SEED = 30, 20, 42
 SCATTER_ROWS, MASK_ROWS, PAIR_ROWS, PAIR_COLUMNS, PERIODS = 1000, 500, 2000, 6, 120
 PIE_LEAST, PIE_MOST = 2, 6

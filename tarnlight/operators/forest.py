@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import number
 
+#: Trees, rows of a tree's sample, seed.
 TREES, SAMPLE, SEED = 300, 256, 42
 EULER = 0.5772156649015329
 

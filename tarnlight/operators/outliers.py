@@ -11,6 +11,7 @@ from ..functions.columns import col, number
 from ..functions.quantiles import exact_quantiles, spread
 from .forest import Forest, fit_forest, score
 
+#: Fence multiplier and deviation limit; share of a pinned value; rows that each method needs.
 MULTIPLIER, Z = 1.5, 3.0
 PINNED_SHARE = 0.25
 LEAST_FENCE, LEAST_MAD, LEAST_FOREST = 4, 2, 30

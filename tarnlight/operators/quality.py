@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import MOMENTS, col, is_number, is_text, ratio, row_key, stacked
 from .univariate import distinct_counts
 
+#: Order of severities; types that have many values by nature; a written number; its share of a text column.
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 EXEMPT = frozenset({"numeric_continuous", "numeric_discrete", "datetime", "time", "boolean", "constant", "identifier"})
 NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"

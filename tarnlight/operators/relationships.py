@@ -11,6 +11,7 @@ from ..functions.columns import col, number, ratio, stacked
 from ..functions.distributions import chi2_tail, correlation_p
 from ..functions.quantiles import running
 
+#: Weakest association shown; rows of a pair; columns of a matrix.
 FLOOR, LEAST_ROWS, MOST_COLUMNS = 0.05, 3, 30
 PER_PASS = 60  # pairs in one aggregate, to keep generated code small
 

@@ -13,6 +13,7 @@ from ..functions.columns import col, is_number, is_text, number
 from ..functions.distributions import chi2_tail, correlation_p
 from .relationships import contingency, cramers_pairs, eta_pairs, kruskal, kruskal_p, pearson_pairs, spearman
 
+#: Most classes, share of an imbalanced class, correlation of a leak; types without a test.
 CLASSES, IMBALANCE, LEAK = 20, 0.8, 0.99
 UNTESTED = frozenset({"identifier", "text", "datetime", "time", "constant"})
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType
 from ..functions.columns import MOMENTS, WHOLE, col, is_number, is_text
 from .univariate import CLOCK, clock
 
+#: Distinct values of a discrete number and of a code; rows probed; shares that decide.
 DISCRETE, CODES = 20, 100
 PROBE, SHARE, FREE_TEXT, CODE_SHARE, SEQUENCE = 200, 0.9, 0.5, 0.9, 0.9
 #: Texts that are booleans.
@@ -44,6 +45,7 @@ DATE_FORMATS = (
     ("d MMM y", False),
     ("d MMMM y", False),
 )
+#: Looks of dates, codes and key names.
 NUMBER_DATE = r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/](\d{4}|\d{2}))([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 WORD_DATE = r"(?i)^\s*(\d{1,2}\s+)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2},?\s+)?\d{4}\s*$"
 CODE = r"^[a-zA-Z0-9_-]+$"

@@ -10,6 +10,7 @@ from ..functions.columns import cell_key, col, number, ratio, stacked, values
 from ..functions.distributions import normality_k2, shapiro
 from ..functions.quantiles import exact_quantiles, percentile, small
 
+#: Rows of a frequency table; days of a gap and gaps shown; the largest sample of Shapiro-Wilk.
 TOP = 20
 GAP_DAYS, GAPS = 7, 5
 SHAPIRO_ROWS = 5000

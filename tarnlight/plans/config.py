@@ -28,6 +28,7 @@ class ColumnTypes:
         return {c: f.name for f in dataclasses.fields(self) for c in getattr(self, f.name)}
 
 
+# The defaults of all settings.
 @dataclass
 class DataQuality:
     missing_threshold: float = 0.95

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from ..operators.quality import QualityReport
 from ..operators.shape import Transform, TransformReport, attempt_text
 
+#: The steps in their order, and the limits of their rules.
 STEPS = {"convert": "Convert", "drop": "Drop", "impute": "Fill gaps", "encode": "Encode", "transform": "Transform", "scale": "Scale"}
 MISSING_PCT, REDUNDANT, REDUNDANT_PAIRS = 60.0, 0.95, 15
 MEAN_MEDIAN_GAP, MODE_PCT = 0.10, 5.0

@@ -99,11 +99,11 @@ def duplicate_groups(spark, sf_dir):
     return rounded(quality.duplicate_groups(_holes(spark, sf_dir)))
 
 
-PARTS = "(SELECT p_brand AS brand, CASE WHEN p_partkey % 1000 = 7 THEN 'b' ELSE 'a' END AS nearly, 'x' AS one, CAST(NULL AS VARCHAR) AS nothing, CASE WHEN p_size > 1 THEN NULL ELSE 'y' END AS rare FROM part)"
+PARTS = "(SELECT p_brand AS brand, CASE WHEN p_retailprice > 999.5 THEN 'b' ELSE 'a' END AS nearly, 'x' AS one, CAST(NULL AS VARCHAR) AS nothing, CASE WHEN p_size > 1 THEN NULL ELSE 'y' END AS rare FROM part)"
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_brand AS brand", "CASE WHEN p_partkey % 1000 = 7 THEN 'b' ELSE 'a' END AS nearly", "'x' AS one", "CAST(NULL AS STRING) AS nothing", "CASE WHEN p_size > 1 THEN NULL ELSE 'y' END AS rare")
+    return table(spark, sf_dir, "part").selectExpr("p_brand AS brand", "CASE WHEN p_retailprice > 999.5 THEN 'b' ELSE 'a' END AS nearly", "'x' AS one", "CAST(NULL AS STRING) AS nothing", "CASE WHEN p_size > 1 THEN NULL ELSE 'y' END AS rare")
 
 
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) <= 1 AS constant, count(*) > 1 AND coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n) > 0.99 AS quasi_constant, CASE WHEN max(n) FILTER (WHERE v IS NOT NULL) >= 0.6 * sum(n) FILTER (WHERE v IS NOT NULL) THEN round(max(n) FILTER (WHERE v IS NOT NULL) / sum(n), 6) END AS top_share FROM (SELECT {c} AS v, count(*) AS n FROM {PARTS} GROUP BY 1)""" for c in ("brand", "nearly", "one", "nothing", "rare")))
@@ -175,9 +175,9 @@ def datetime_stats(spark, sf_dir):
     return univariate.datetime_profile(table(spark, sf_dir, "orders"), ["o_orderdate"])
 
 
-@query("SELECT strftime(b, '%Y-%m-%d') AS gap_from, strftime(x, '%Y-%m-%d') AS gap_to FROM (SELECT x, lag(x) OVER (ORDER BY x) AS b FROM (SELECT DISTINCT o_orderdate AS x FROM orders WHERE o_custkey % 97 = 5)) WHERE x > b + INTERVAL 7 DAY ORDER BY x LIMIT 5")
+@query("SELECT strftime(b, '%Y-%m-%d') AS gap_from, strftime(x, '%Y-%m-%d') AS gap_to FROM (SELECT x, lag(x) OVER (ORDER BY x) AS b FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS x FROM orders)) WHERE x > b + INTERVAL 7 DAY ORDER BY x LIMIT 5")
 def datetime_gaps(spark, sf_dir):
-    return univariate.datetime_gaps(table(spark, sf_dir, "orders").where("o_custkey % 97 = 5"), "o_orderdate")
+    return univariate.datetime_gaps(table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("m")), "m")
 
 
 def _period_sql(unit: str) -> str:
@@ -201,15 +201,15 @@ def hour_counts(spark, sf_dir):
     return univariate.hour_counts(table(spark, sf_dir, "events"), "ts")
 
 
-@query("SELECT CAST(h AS INT) AS hour, count(t) AS n FROM generate_series(0, 23) g(h) LEFT JOIN (SELECT hour(ts) AS t FROM events WHERE event_id % 5 <> 0) ON t = h GROUP BY h")
+@query("SELECT CAST(h AS INT) AS hour, count(t) AS n FROM generate_series(0, 23) g(h) LEFT JOIN (SELECT hour(ts) AS t FROM events WHERE user_id <= 100) ON t = h GROUP BY h")
 def time_of_day_hours(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN event_id % 5 = 0 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
+    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN user_id > 100 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
     return univariate.hour_counts(df, "t")
 
 
-@query("SELECT count(*) FILTER (WHERE event_id % 5 <> 0) AS count, strftime(min(ts::TIME) FILTER (WHERE event_id % 5 <> 0) + DATE '2000-01-01', '%H:%M:%S') AS earliest, strftime(max(ts::TIME) FILTER (WHERE event_id % 5 <> 0) + DATE '2000-01-01', '%H:%M:%S') AS latest FROM events")
+@query("SELECT count(*) FILTER (WHERE user_id <= 100) AS count, strftime(min(ts::TIME) FILTER (WHERE user_id <= 100) + DATE '2000-01-01', '%H:%M:%S') AS earliest, strftime(max(ts::TIME) FILTER (WHERE user_id <= 100) + DATE '2000-01-01', '%H:%M:%S') AS latest FROM events")
 def time_of_day_stats(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN event_id % 5 = 0 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
+    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN user_id > 100 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
     r = univariate.time_profile(df, "t")
     return spark.createDataFrame([(r["count"], r["earliest"], r["latest"])], "count long, earliest string, latest string")
 

@@ -7,6 +7,7 @@ import csv
 import re
 from pathlib import Path
 
+#: Formats by extension, delimiters, and how much of a file is looked at.
 FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet", ".json": "json", ".jsonl": "json"}
 DELIMITERS = (",", ";", "\t", "|")
 DELIMITER_LINES, DECIMAL_LINES, GUESS_BYTES = 20, 30, 200_000

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, is_text
 from ..operators.quality import NUMBER_TEXT
 
+#: Fixed value: signs that alone in a cell mean a gap.
 PLACEHOLDER = r"^\s*[.\-?_*/]+\s*$"
 
 
