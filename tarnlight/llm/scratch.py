@@ -11,8 +11,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A Python worker holds few texts at a time, however long they are.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+#: A Python worker holds few texts at a time: up to 512, of 16 MB together, or one longer text.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
