@@ -117,7 +117,8 @@ class OutlierReport:
 
 def analyze_outliers(df: DataFrame, columns: list[str], *, multiplier: float = MULTIPLIER, z: float = Z, forest: bool = True, contamination: float | None = None) -> OutlierReport:
     """All methods at once; rows are flagged in place, so no list of rows reaches the driver."""
-    df = spread(df)
+    dealt = spread(df)
+    df = dealt if dealt is df else dealt.persist()  # a small table is read once for all passes
     f, d = fences(df, columns, multiplier), deviations(df, columns)
     out = OutlierReport(f, d, {}, {})
     flags = {f"iqr_{c}": beyond_fence(f[c]) for c in columns} | {f"mad_{c}": beyond_deviation(d[c], z) for c in columns}
@@ -153,4 +154,6 @@ def analyze_outliers(df: DataFrame, columns: list[str], *, multiplier: float = M
     out.iqr_counts = {c: row[f"iqr_{c}"] for c in columns}
     out.mad_counts = {c: row[f"mad_{c}"] for c in columns}
     out.forest_count, out.union_count = row["forest"], row["any"]
+    if df is dealt and dealt.storageLevel.useMemory and dealt is not table:
+        dealt.unpersist()
     return out
