@@ -5,7 +5,8 @@
 2. Classes that share a band key are candidates: at the threshold a pair is missed with probability 5e-8.
    Buckets of the same members are kept once. A bucket's pairs are compared on the sketch 16 values at a time,
    and a pair is dropped when the posterior probability that its similarity reaches the threshold (uniform
-   prior, beta posterior) falls below `tolerance`. What stays is returned as a spanning forest, not as pairs.
+   prior, beta posterior) falls below `tolerance`. What stays is returned as a spanning forest, not as pairs: a block's
+   own forest, and for two blocks the edges between their trees.
 3. The forest's components are clusters. Each cluster's pairs are verified exactly on shingle sets, and give
    each class its number of links and a spanning forest of true links, whose components are the groups.
 Large buckets and clusters are cut into blocks of bounded rows and shingles; a task gets two blocks. So no task
@@ -122,14 +123,6 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def block_pairs(side: np.ndarray, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a task: all of one block, or those across two."""
-    if first == second:
-        return np.triu_indices(len(side), 1)
-    a, b = np.flatnonzero(side == first), np.flatnonzero(side == second)
-    return np.repeat(a, len(b)), np.tile(b, len(a))
-
-
 def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of all intersections, exact, over slices of the shingles."""
     m = len(sets)
@@ -191,10 +184,17 @@ def prune(threshold: Fraction, tolerance: float) -> Callable:
         def edges() -> Iterator[tuple]:
             for rows in runs(batches, 3):
                 sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), SKETCH)
-                i, j = likely_pairs(sketch, *block_pairs(np.array([r[3] for r in rows]), rows[0][1], rows[0][2]), least)
-                for a, b in enumerate(roots(len(rows), i, j).tolist()):
-                    if a != b:
-                        yield rows[a][4], rows[b][4]
+                side = np.array([r[3] for r in rows])
+                i, j = likely_pairs(sketch, *np.triu_indices(len(rows), 1), least)
+                root = roots(len(rows), i, j)
+                if rows[0][1] == rows[0][2]:
+                    ends = np.arange(len(rows))
+                else:  # what a block's own task joins needs one edge here
+                    inside = side[i] == side[j]
+                    ends = np.unique(roots(len(rows), i[inside], j[inside]))
+                for a in ends.tolist():
+                    if a != root[a]:
+                        yield rows[a][4], rows[root[a]][4]
 
         yield from emit(edges(), [("u", pa.binary()), ("v", pa.binary())])
 
