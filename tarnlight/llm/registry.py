@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import attribution, decontam, htmldiff, jaccard, linedup, packing, quality, secrets, shards, urlrules
+from .scratch import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.sequence_digest(shards.shard_blobs(shards.ordered(table(spark, sf_dir, "documents"))))
+    uri = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"  # what the query makes, so it stays
+    blobs = shards.shard_blobs(shards.ordered(table(spark, sf_dir, "documents")))
+    return shards.written_digest(shards.write_shards(blobs, uri), uri)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@
 3. A keyed Feistel permutation of the smallest even-bit domain over N, walked until it lands below N, gives
    each sequence its slot in training order: a bijection without a sort key column or a shuffle of its own.
 4. Slots are range-partitioned by shard and sorted; each shard is `shard_sequences` sequences of `stride`
-   little-endian ids, so sequence k of a shard begins at byte k * stride * width.
+   little-endian ids, so sequence k of a shard begins at byte k * stride * width. In the shuffle ids are packed.
+5. Each shard is written as a file and the digest is taken from the files as a reader finds them: it goes through
+   them in order and can begin at any slot, as a slot alone says the file and the byte.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are written once each; other columns
 are ignored; an empty table gives no sequence and no shard.
@@ -19,12 +21,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .arrowtext import mix
 from .scratch import drop_at_end, shared_dir, ship, spread
@@ -82,8 +82,14 @@ def sequences(docs: DataFrame, *, text_col: str = "text", stride: int = 2048, to
     return spread(docs.select(F.col(text_col).cast("string").alias("t"))).mapInArrow(run, "part long, local long, n_tokens long, ids binary")
 
 
+def pack(ids: list[bytes]) -> list[bytes]:
+    """Each sequence's ids compressed by themselves, as the shuffle's own codec leaves them a third larger."""
+    codec = pa.Codec("zstd", 3)
+    return [codec.compress(x, asbytes=True) for x in ids]
+
+
 def ordered(docs: DataFrame, *, key: int = 20240229, shard_sequences: int = 256, **options) -> DataFrame:
-    """shard, slot, n_tokens, ids: range-partitioned by shard and sorted by slot."""
+    """shard, slot, n_tokens, n_bytes, packed (ids): range-partitioned by shard and sorted by slot."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tarnlight-sequences-{uuid.uuid4().hex}"
     made = sequences(docs, **options)
@@ -97,25 +103,26 @@ def ordered(docs: DataFrame, *, key: int = 20240229, shard_sequences: int = 256,
         total += n
     n_shards = -(-total // shard_sequences)
 
-    @F.pandas_udf(LongType())
-    def slot(part: pd.Series, local: pd.Series) -> pd.Series:
-        return pd.Series(feistel(part.map(base).to_numpy(np.int64) + local.to_numpy(np.int64), total, key))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, local, n_tokens, ids = (c.to_pylist() for c in batch.columns)
+            slot = feistel(np.array([base[p] for p in part], np.int64) + np.array(local, np.int64), total, key)
+            yield pa.RecordBatch.from_pydict({"shard": slot // shard_sequences, "slot": slot, "n_tokens": n_tokens, "n_bytes": pa.array(map(len, ids), pa.int64()), "packed": pa.array(pack(ids), pa.binary())})
 
-    made = made.withColumn("slot", slot("part", "local")).withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("long"))
     n = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return made.repartitionByRange(n, "shard").sortWithinPartitions("slot").select("shard", "slot", "n_tokens", "ids")
+    return made.mapInArrow(place, "shard long, slot long, n_tokens long, n_bytes long, packed binary").repartitionByRange(n, "shard").sortWithinPartitions("slot")
 
 
 def shard_blobs(seqs: DataFrame) -> DataFrame:
     """One row for each shard of ordered(): shard, first_slot, n_sequences, n_tokens, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, codec = None, [], pa.Codec("zstd")
 
         def out() -> pa.RecordBatch:
             slots = [r[0] for r in rows]
             assert slots == list(range(slots[0], slots[0] + len(slots))), "a shard's slots must be contiguous"
-            return pa.RecordBatch.from_pydict({"shard": [now], "first_slot": [slots[0]], "n_sequences": [len(rows)], "n_tokens": [sum(r[1] for r in rows)], "payload": pa.array([b"".join(r[2] for r in rows)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": [now], "first_slot": [slots[0]], "n_sequences": [len(rows)], "n_tokens": [sum(r[1] for r in rows)], "payload": pa.array([b"".join(codec.decompress(r[3], r[2], asbytes=True) for r in rows)], pa.binary())})
 
         for batch in batches:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -160,6 +167,52 @@ def write_shards(blobs: DataFrame, uri: str) -> DataFrame:
     return blobs.mapInArrow(run, "shard long, first_slot long, n_sequences long, n_tokens long, n_bytes long, crc32 long")
 
 
+def read_shard(fs, path: str, size: int, first: int = 0) -> Iterator[bytes]:
+    """The sequences (of `size` bytes) of one shard in order, beginning with number `first`."""
+    with fs.open_input_file(path) as f:
+        if f.size() % size:
+            raise ValueError(f"{path} is not of whole sequences")
+        f.seek(first * size)
+        while data := f.read(size):
+            yield data
+
+
+def read_sequences(uri: str, size: int, shard_sequences: int = 256, start: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(slot, ids) of all shards of write_shards in training order from slot `start` on; a reader that was stopped
+    goes on with the slot after its last one. A shard that is missing or short, other than the last, is an error."""
+    from pyarrow import fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(uri)
+    files = {f.base_name: f.size for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".bin")}
+    names = [f"shard-{k:08d}.bin" for k in range(len(files))]
+    if files.keys() != set(names) or any(files[n] != size * shard_sequences for n in names[:-1]):
+        raise ValueError(f"{uri} has missing or short shards")
+    for k in range(start // shard_sequences, len(names)):
+        first = max(0, start - k * shard_sequences)
+        for i, data in enumerate(read_shard(fs, f"{root}/{names[k]}", size, first), k * shard_sequences + first):
+            yield i, data
+
+
+def written_digest(manifest: DataFrame, uri: str) -> DataFrame:
+    """The columns of sequence_digest, read back from the files that write_shards reports in the manifest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, size, whole, crcs = r["n_sequences"], r["n_bytes"] // r["n_sequences"], 0, []
+                for data in read_shard(fs, f"{root}/shard-{r['shard']:08d}.bin", size):
+                    crcs.append(zlib.crc32(data))
+                    whole = zlib.crc32(data, whole)
+                if len(crcs) != n or whole != r["crc32"]:
+                    raise ValueError(f"shard {r['shard']} is not as written")
+                yield pa.RecordBatch.from_pydict({"slot": [r["first_slot"] + i for i in range(n)], "shard": [r["shard"]] * n, "byte_offset": [i * size for i in range(n)], "n_bytes": [size] * n, "ids_crc32": crcs})
+
+    return manifest.mapInArrow(run, "slot long, shard long, byte_offset long, n_bytes long, ids_crc32 long")
+
+
 def sequence_digest(blobs: DataFrame, stride: int = 2048) -> DataFrame:
     """One row for each sequence of the shards: slot, shard, byte_offset, n_bytes, ids_crc32 (of the payload's bytes)."""
 

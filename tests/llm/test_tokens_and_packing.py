@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -155,3 +156,24 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
 
 def test_shards_of_an_empty_table(spark):
     assert shards.shard_blobs(shards.ordered(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_training_order_query_writes_shards(spark):
+    from tarnlight.llm import registry
+    from tarnlight.llm.scratch import shared_dir
+
+    base = "/root/testdata/sf0.001"
+    made = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("training-order-*"))
+    before = made()
+    digest = sorted(registry.op9_training_order(spark, base).collect())
+    (folder,) = made() - before
+    blobs = shards.shard_blobs(shards.ordered(spark.read.parquet(f"{base}/documents.parquet")))
+    assert digest == sorted(shards.sequence_digest(blobs).collect())
+    read = list(shards.read_sequences(str(folder), 4096))
+    assert [(i, zlib.crc32(x)) for i, x in read] == [(r["slot"], r["ids_crc32"]) for r in digest]
+    for start in (1, 256, len(read) - 1, len(read)):
+        assert list(shards.read_sequences(str(folder), 4096, start=start)) == read[start:]
+    last = max(folder.glob("*.bin"))
+    last.write_bytes(last.read_bytes()[:-1])
+    with pytest.raises(ValueError):
+        list(shards.read_sequences(str(folder), 4096))
