@@ -5,21 +5,29 @@
    comments give no lines, by element, role, class or id. A line knows whether it stands in an article or main
    element.
 2. Pages are range-partitioned and sorted by host and path, so a host of any size spreads over many tasks. Each
-   page is paired with the neighbour of its host whose path has the longer common prefix.
+   page is paired with the neighbour of its host whose path has the longer common prefix. Neighbours that are
+   copies of each other (19 of 20 characters are in equal lines) are one run, and a page's neighbours are the last
+   page before its run and the first one after it, as copies can't tell a site's lines from a page's. For the same
+   reason a page isn't paired with one that holds nearly all of its lines, or that has nearly nothing else.
 3. The two pages' lines are aligned by longest common subsequence, and shared lines are deleted, but for lines
    in an article or main element: copies of one article under one host share all of it, and it is main text.
 4. Where a page has an article (or else a main) element, its lines are the text; otherwise all lines left are.
 
 Defined cases: a null or empty html gives an empty text; a url without host is paired with none; a null id is
-carried; repeated rows each give a row (and are each other's neighbours); other columns are ignored; an empty
+carried; repeated rows each give a row (and are copies); a page with no other partner than copies keeps its lines; other columns are ignored; an empty
 table gives no rows. A page at the edge of a partition pairs with its neighbour inside it.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +56,7 @@ DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist respond disqus share sharing social related recommended pagination pager login signup toolbar widget".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+COPY = 20  # pages are copies if all but a 20th of their characters is in equal lines
 KEEP, DROP, HEAD = 0, 1, 2  # what an open element does to its text: HEAD drops all but headings
 
 
@@ -203,6 +212,26 @@ def _prefix(v: int, m: int) -> list[int]:
     return out
 
 
+def overlap(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> tuple[int, int, int]:
+    """Characters of a, of b, and of lines they have both, in whatever order."""
+    x, y = Counter(t for t, _ in a), Counter(t for t, _ in b)
+    return sum(len(t) for t, _ in a), sum(len(t) for t, _ in b), sum(len(t) * min(n, y[t]) for t, n in x.items() if t in y)
+
+
+def copies(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
+    """Whether nearly all of both pages is the same."""
+    if a == b:
+        return True
+    n, m, both = overlap(a, b)
+    return COPY * both >= (COPY - 1) * max(n, m)
+
+
+def telling(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
+    """Whether b may be a's partner: neither of them is nearly all in the other."""
+    n, m, both = overlap(a, b)
+    return COPY * both < (COPY - 1) * min(n, m)
+
+
 def main_text(lines: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
     if partner:
         shared = common([t for t, _ in lines], [t for t, _ in partner])
@@ -218,46 +247,70 @@ def prefix_length(a: str, b: str) -> int:
     return next(i for i in range(n) if a[i] != b[i])
 
 
+class Page(NamedTuple):
+    id: object
+    url: str | None
+    host: str
+    path: str
+    packed: bytes  # lines
+
+    def lines(self) -> list[tuple[str, int]]:
+        return [tuple(x) for x in json.loads(zlib.decompress(self.packed))]
+
+
+def packed(lines: list[tuple[str, int]]) -> bytes:
+    return zlib.compress(json.dumps(lines).encode(), 1)
+
+
+def together(a: Page, b: Page) -> bool:
+    """Whether neighbours belong to one run."""
+    return bool(a.host) and a.host == b.host and (a.packed == b.packed or copies(a.lines(), b.lines()))
+
+
+def paired(pages: Iterable[Page]) -> Iterator[tuple[Page, Page | None, Page | None]]:
+    """Each page, the last one before its run, and the first one after it. A run's pages are held packed."""
+    run, before = [], None
+    for page in pages:
+        if run and not together(run[-1], page):
+            yield from ((x, before, page) for x in run)
+            before, run = run[-1], []
+        run.append(page)
+    yield from ((x, before, None) for x in run)
+
+
+def text_of(page: Page, before: Page | None, after: Page | None) -> str:
+    lines = page.lines()
+    if any(p for _, p in lines):  # an article's lines are never deleted
+        return main_text(lines, None)
+    near = [(prefix_length(page.path, x.path), x) for x in (before, after) if x and page.host and x.host == page.host]
+    for _, x in sorted(near, key=lambda x: -x[0]):
+        other = x.lines()
+        if telling(lines, other):
+            return main_text(lines, other)
+    return main_text(lines, None)
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars (code points) of each page."""
     spark = pages.sparkSession
     ship(spark)
     url = F.col(url_col).cast("string")
-    source = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.col(html_col).cast("string").alias("__html"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"))
+    source = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"), F.col(html_col).cast("string").alias("__html"))
     keys = ["__host", "__path", "__id"]
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     arrow = to_arrow_schema(schema)
+    parsed = T.StructType([*source.schema.fields[:4], T.StructField("__packed", T.BinaryType())])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pa.array([packed(page_lines(x)) for x in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lines], names=parsed.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            before = now = None  # (id, url, host, path, lines)
-
-            def near(x, y) -> int:
-                return prefix_length(x[3], y[3]) if x and y and x[2] and x[2] == y[2] else -1
-
-            def text(page, prev, next_) -> tuple:
-                left, right = near(page, prev), near(page, next_)
-                partner = None if max(left, right) < 0 else (prev if left >= right else next_)[4]
-                made = main_text(page[4], partner)
-                return page[0], page[1], made, len(made)
-
-            for batch in batches:
-                for i, u, html, host, path in zip(*(c.to_pylist() for c in batch.columns)):
-                    after = (i, u, host, path, page_lines(html))
-                    if now:
-                        yield text(now, before, after)
-                    before, now = now, after
-            if now:
-                yield text(now, before, None)
-
-        held: list[tuple] = []
-        for r in rows():
-            held.append(r)
-            if len(held) == 512:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
-                held = []
-        if held:
+        pages = (Page(*x) for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+        made = ((x.id, x.url, t, len(t)) for x, before, after in paired(pages) for t in [text_of(x, before, after)])
+        while held := list(islice(made, 512)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return source.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return source.mapInArrow(parse, parsed).repartitionByRange(n, *keys).sortWithinPartitions(*keys, "__url", "__packed").mapInArrow(run, schema)

@@ -230,3 +230,26 @@ def test_differencing_deletes_shared_lines(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == {1: "alpha beta", 2: "gamma delta", 3: "Site name gamma delta Terms apply", 4: "", 5: "same", 6: "same"}
     assert htmldiff.extract(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages, partitions="1"):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        return {r["page_id"]: r["text"] for r in htmldiff.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_copies_keep_their_main_text(spark):
+    shell = "<body><div>Site name</div><p>{}</p><p>{}</p><div>Terms apply</div></body>"
+    long = "a paragraph of some length " * 20
+    twins = [(i, f"http://a.com/x?from={i}", shell.format("alpha", "beta")) for i in range(3)]
+    assert extracted(spark, twins) == dict.fromkeys(range(3), "Site name alpha beta Terms apply")
+    # a page of another text tells what is the site's, however many copies are between
+    other = [(9, "http://a.com/y", shell.format("gamma", "delta")), (10, "http://b.com/y", shell.format("gamma", "delta"))]
+    assert extracted(spark, twins + other) == dict.fromkeys(range(3), "alpha beta") | {9: "gamma delta", 10: "Site name gamma delta Terms apply"}
+    near = [(i, f"http://a.com/x/{i}", shell.format(long, f"print {i}")) for i in range(3)]
+    assert extracted(spark, near + other) == {i: f"{long}print {i}" for i in range(3)} | {9: "gamma delta", 10: "Site name gamma delta Terms apply"}
+    # a version without the site's lines
+    bare = [(1, "http://a.com/x", shell.format(long, "beta")), (2, "http://a.com/x?print", f"<p>{long}</p><p>beta</p>")]
+    assert extracted(spark, bare) == {1: f"Site name {long}beta Terms apply", 2: f"{long}beta"}
