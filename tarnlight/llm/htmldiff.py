@@ -15,7 +15,7 @@
 
 Defined cases: a null or empty html gives an empty text; a url without host is paired with none; a null id is
 carried; repeated rows each give a row (and are copies); a page with no other partner than copies keeps its lines; other columns are ignored; an empty
-table gives no rows. A page at the edge of a partition pairs with its neighbour inside it.
+table gives no rows. Pairing doesn't depend on the partitions: up to four pages of each are carried to the others.
 """
 
 from __future__ import annotations
@@ -26,14 +26,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
-from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scratch import ship
 from .urlrules import host_of, path_of
@@ -267,15 +265,62 @@ def together(a: Page, b: Page) -> bool:
     return bool(a.host) and a.host == b.host and (a.packed == b.packed or copies(a.lines(), b.lines()))
 
 
-def paired(pages: Iterable[Page]) -> Iterator[tuple[Page, Page | None, Page | None]]:
-    """Each page, the last one before its run, and the first one after it. A run's pages are held packed."""
-    run, before = [], None
+class Edges(NamedTuple):
+    """Of a partition: first page, first page of its second run, last page, last page of the run before the last."""
+
+    first: Page
+    second: Page | None
+    last: Page
+    earlier: Page | None
+
+
+#: Of the pages before a place: the last one, and the last one of another run than that; after it likewise.
+Side = tuple[Page | None, Page | None]
+
+
+def edges_of(pages: Iterable[Page]) -> Edges | None:
+    first = second = last = earlier = None
+    for page in pages:
+        if first is None:
+            first = page
+        elif not together(last, page):
+            second, earlier = second or page, last
+        last = page
+    return Edges(first, second, last, earlier) if first else None
+
+
+def sides(parts: dict[int, Edges]) -> dict[int, tuple[Side, Side]]:
+    """What is before and after each partition that has pages."""
+
+    def passed(side: Side, near: Page, turn: Page | None, far: Page) -> Side:
+        if turn:  # a run ends inside
+            return far, turn
+        return far, side[1] if side[0] and together(side[0], near) else side[0]
+
+    before, after, side = {}, {}, (None, None)
+    for k in sorted(parts):
+        e, before[k] = parts[k], side
+        side = passed(side, e.first, e.earlier, e.last)
+    side = (None, None)
+    for k in sorted(parts, reverse=True):
+        e, after[k] = parts[k], side
+        side = passed(side, e.last, e.second, e.first)
+    return {k: (before[k], after[k]) for k in parts}
+
+
+def paired(pages: Iterable[Page], ahead: Side = (None, None), behind: Side = (None, None)) -> Iterator[tuple[Page, Page | None, Page | None]]:
+    """Each page, the last one before its run, and the first one after it. ahead: what is before the first page,
+    behind: after the last. A run's pages are held packed."""
+    run, (last, before) = [], ahead
     for page in pages:
-        if run and not together(run[-1], page):
+        if last and not together(last, page):
             yield from ((x, before, page) for x in run)
-            before, run = run[-1], []
+            before, run = last, []
         run.append(page)
-    yield from ((x, before, None) for x in run)
+        last = page
+    if run:
+        after = behind[1] if behind[0] and together(last, behind[0]) else behind[0]
+        yield from ((x, before, after) for x in run)
 
 
 def text_of(page: Page, before: Page | None, after: Page | None) -> str:
@@ -298,7 +343,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     source = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"), F.col(html_col).cast("string").alias("__html"))
     keys = ["__host", "__path", "__id"]
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    arrow = to_arrow_schema(schema)
     parsed = T.StructType([*source.schema.fields[:4], T.StructField("__packed", T.BinaryType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +350,19 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             lines = pa.array([packed(page_lines(x)) for x in batch.column(4).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], lines], names=parsed.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages = (Page(*x) for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
-        made = ((x.id, x.url, t, len(t)) for x, before, after in paired(pages) for t in [text_of(x, before, after)])
-        while held := list(islice(made, 512)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
-
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return source.mapInArrow(parse, parsed).repartitionByRange(n, *keys).sortWithinPartitions(*keys, "__url", "__packed").mapInArrow(run, schema)
+    # one RDD, so that both passes read the same partitions of one shuffle
+    dealt = source.mapInArrow(parse, parsed).repartitionByRange(n, *keys).sortWithinPartitions(*keys, "__url", "__packed").rdd
+
+    def edges(k: int, rows: Iterator[Row]) -> Iterator[tuple]:
+        found = edges_of(Page(*r) for r in rows)
+        return iter([(k, found)] if found else [])
+
+    carried = spark.sparkContext.broadcast(sides(dict(dealt.mapPartitionsWithIndex(edges).collect())))
+
+    def run(k: int, rows: Iterator[Row]) -> Iterator[tuple]:
+        for page, before, after in paired((Page(*r) for r in rows), *carried.value.get(k, ())):
+            text = text_of(page, before, after)
+            yield page.id, page.url, text, len(text)
+
+    return spark.createDataFrame(dealt.mapPartitionsWithIndex(run), schema, verifySchema=False)

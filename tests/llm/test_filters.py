@@ -253,3 +253,19 @@ def test_copies_keep_their_main_text(spark):
     # a version without the site's lines
     bare = [(1, "http://a.com/x", shell.format(long, "beta")), (2, "http://a.com/x?print", f"<p>{long}</p><p>beta</p>")]
     assert extracted(spark, bare) == {1: f"Site name {long}beta Terms apply", 2: f"{long}beta"}
+
+
+def test_pairing_is_the_same_at_every_partition_count(spark):
+    r = random.Random(8)
+    pages = []
+    for i in range(90):
+        host, kind = f"h{r.randrange(6)}.com", r.randrange(4)
+        body = "".join(f"<p>{r.choice(['own', 'other'])} {i} {j} text</p>" for j in range(3)) if kind else "<p>the same copy</p><p>of a page</p>"
+        pages.append((i, f"http://{host}/{r.choice('ab')}/{r.randrange(30)}", f"<div>Site {host}</div>{body}<div>Terms of {host}</div>"))
+    pages += [(200 + i, "http://h7.com/x", "<div>Site</div><p>copied text</p>") for i in range(40)] + [(300, "http://h7.com/y", "<div>Site</div><p>another</p>")]
+    pages += [(400, "http://two.com/1", "<div>Two</div><p>first</p>"), (401, "http://two.com/2", "<div>Two</div><p>second</p>")]
+    one = extracted(spark, pages)
+    assert one[200] == one[239] == "copied text" and one[400] == "first" and one[401] == "second"
+    assert not any("Site" in t for t in one.values())
+    for n in ("3", "7", "50"):
+        assert extracted(spark, pages, n) == one
