@@ -2,8 +2,9 @@
 
 1. A page is read into lines: the text of each block, with character references decoded and white space turned
    into single spaces. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader
-   comments give no lines, by element, role, class or id. A line knows whether it stands in an article or main
-   element.
+   comments give no lines, by element, role, class or id. A class or id counts as a whole, or with words of place
+   like "left" beside it. It never drops an article or main element, nor one that holds the page's only ones; in
+   reader comments and related pages, only a main element counts. A line knows whether it stands in an article or main element.
 2. Pages are range-partitioned and sorted by host and path, so a host of any size spreads over many tasks. Each
    page is paired with the neighbour of its host whose path has the longer common prefix. Neighbours that are
    copies of each other (19 of 20 characters are in equal lines) are one run, and a page's neighbours are the last
@@ -24,7 +25,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -53,15 +54,34 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist respond disqus share sharing social related recommended pagination pager login signup toolbar widget".split()
 )
+BEFORE_NAMES = frozenset("main primary secondary site page post global top footer header mobile".split())  # "site-nav"
+AFTER_NAMES = frozenset("left right top bottom primary secondary main area list block box bar section container inner links item text".split())  # "sidebar-left"
+OF_OTHERS = frozenset("comment comments commentlist respond disqus related recommended".split())  # their articles are other people's or pages'
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COPY = 20  # pages are copies if all but a 20th of their characters is in equal lines
-KEEP, DROP, HEAD = 0, 1, 2  # what an open element does to its text: HEAD drops all but headings
+KEEP, DROP, HEAD, NAMED, OTHERS = range(5)  # what an open element does to its text: HEAD drops all but headings; NAMED and OTHERS drop by name
 
 
 def attributes(text: str) -> dict[str, str]:
     return {n.lower(): unescape(a or b or c) for n, a, b, c in ATTR.findall(text)} if text else {}
 
 
+def by_name(names: str) -> int:
+    """What class names and ids say."""
+    found = KEEP
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        while len(parts) > 1 and (parts[-1] in AFTER_NAMES or parts[-1].isdigit()):
+            parts.pop()
+        while len(parts) > 1 and parts[0] in BEFORE_NAMES:
+            parts.pop(0)
+        if parts and DROP_NAMES.issuperset(parts):
+            if not OF_OTHERS.isdisjoint(parts):
+                return OTHERS
+            found = NAMED
+    return found
+
+
 def effect(tag: str, attrs: str, inside: bool) -> int:
     """inside: whether an article or main element is open."""
     if tag in DROP_TAGS:
@@ -73,37 +93,44 @@ def effect(tag: str, attrs: str, inside: bool) -> int:
     have = attributes(attrs)
     if have.get("role", "").lower() in DROP_ROLES or "hidden" in have or have.get("aria-hidden", "").lower() == "true":
         return DROP
-    names = f"{have.get('class', '')} {have.get('id', '')}".lower()
-    return DROP if names.strip() and not DROP_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names)) else KEEP
+    if tag == "article" or have.get("role", "").lower() == "main":
+        return KEEP
+    return by_name(f"{have.get('class', '')} {have.get('id', '')}".lower())
+
+
+class Named:
+    """An open element that is dropped by its name unless it turns out to hold an article or main element."""
+
+    def __init__(self, others: bool):
+        self.others, self.dropped = others, True
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
     """(text, 2 in an article, 1 in a main element, 0 elsewhere) of each block with text, in page order."""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[tuple[tuple[str, tuple[Named, ...]], ...], int]] = []  # pieces of text with the named ones around
     if not html:
-        return out
-    stack: list[tuple[str, int, int]] = []  # (tag, effect on what is inside, place)
-    mode, place, held = KEEP, 0, []
+        return []
+    top = ("", KEEP, 0, ())
+    stack: list[tuple[str, int, int, tuple[Named, ...]]] = []  # (tag, effect on what is inside, place, named ones around)
+    mode, place, around, held = KEEP, 0, (), []
 
     def flush() -> None:
         if held:
-            text = " ".join("".join(held).split())
+            out.append((tuple(held), place))
             held.clear()
-            if text:
-                out.append((text, place))
 
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text and mode == KEEP:
-            held.append(unescape(text) if "&" in text else text)
+            held.append((unescape(text) if "&" in text else text, around))
         if not m:
             break
         at = m.end()
         if m["raw"] is not None:
             if mode == KEEP:
-                held.append(m["raw"])
+                held.append((m["raw"], around))
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
@@ -116,7 +143,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                 k -= 1
             if k >= 0:
                 del stack[k:]
-                _, mode, place = stack[-1] if stack else ("", KEEP, 0)
+                _, mode, place, around = stack[-1] if stack else top
             continue
         attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"] or ""
         if tag in VOID:
@@ -131,18 +158,33 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                 k -= 1
             if k >= 0 and stack[k][0] == "p":
                 del stack[k:]
-                _, mode, place = stack[-1] if stack else ("", KEEP, 0)
+                _, mode, place, around = stack[-1] if stack else top
         own = effect(tag, attrs, place > 0) if mode != DROP else DROP
+        if own in (NAMED, OTHERS):  # read on, as the element may hold an article
+            around = (*around, Named(own == OTHERS))
+            own = KEEP
         if mode == HEAD:
             own = KEEP if tag in HEADINGS and own == KEEP else DROP if own == DROP else HEAD
         mode = own
+        is_main = tag == "main" or "main" in attrs and attributes(attrs).get("role") == "main"
+        if mode != DROP and (is_main or tag == "article"):
+            if is_main or not any(x.others and x.dropped for x in around):
+                for x in around:
+                    x.dropped = False
         if tag == "article":
             place = 2
-        elif tag == "main" or "main" in attrs and attributes(attrs).get("role") == "main":
+        elif is_main:
             place = max(place, 1)
-        stack.append((tag, mode, place))
+        stack.append((tag, mode, place, around))
     flush()
-    return out
+
+    def lines(kept: Callable[[tuple[Named, ...]], bool]) -> list[tuple[str, int]]:
+        made = ((" ".join("".join(t for t, named in pieces if kept(named)).split()), p) for pieces, p in out)
+        return [x for x in made if x[0]]
+
+    # beside an article of its own, those in a sidebar are teasers
+    own_lines = lines(lambda named: not named)
+    return own_lines if any(p for _, p in own_lines) else lines(lambda named: not any(x.dropped for x in named))
 
 
 def common(a: list[str], b: list[str], most_bits: int = 1 << 28) -> list[bool]:

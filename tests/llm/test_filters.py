@@ -269,3 +269,19 @@ def test_pairing_is_the_same_at_every_partition_count(spark):
     assert not any("Site" in t for t in one.values())
     for n in ("3", "7", "50"):
         assert extracted(spark, pages, n) == one
+
+
+def test_names_do_not_drop_the_main_text():
+    for wrap in ('<div class="content-sidebar-wrap">', '<div class="page has-sidebar">', '<div class="with-nav">', '<div class="sidebar">', '<div id="widget"><section class="social">'):
+        assert main(f"<div class='nav'>n</div>{wrap}<article>One<p>two</article></div><p>out") == "One two"
+        assert main(f"{wrap}x<main>One<p>two</main>") == "One two"
+    assert main('<article class="post comment-open">a</article>') == "a" and main('<article id="notice">a</article>') == "a"
+    for name in ("content-sidebar-wrap", "page has-sidebar", "with-nav"):  # no article at all
+        assert main(f'<div class="{name}"><p>text</div>') == "text"
+    for name in ("sidebar", "sidebar-left", "site-nav x", "nav-menu", "widget_2", "post-comments", "comments-area", "AD"):
+        assert main(f'<p>text<div class="{name}"><p>no</div>') == "text"
+        assert main(f'<article>text <header><h1>h</h1><div class="{name}"><h2>no</h2></div></header></article>') == "text h"
+    assert main('<p>a<span class="ad">no</span>b') == "ab"
+    # other people's and pages' articles
+    assert main('<p>text<div id="comments"><article class="comment">no</article></div>') == "text"
+    assert main('<main>text</main><div class="sidebar"><article>no</article></div>') == "text"
