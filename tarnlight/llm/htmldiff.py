@@ -5,7 +5,7 @@
    comments give no lines, by element, role, class or id. A class or id counts as a whole, or with words of place
    like "left" beside it. It never drops an article or main element, nor one that holds the page's only ones; in
    reader comments and related pages, only a main element counts. A line knows whether it stands in an article or main element.
-2. Pages are range-partitioned and sorted by host and path, so a host of any size spreads over many tasks. Each
+2. Pages are dealt by ranges and sorted by host, path and url, so a host of any size spreads over many tasks. Each
    page is paired with the neighbour of its host whose path has the longer common prefix. Neighbours that are
    copies of each other (19 of 20 characters are in equal lines) are one run, and a page's neighbours are the last
    page before its run and the first one after it, as copies can't tell a site's lines from a page's. For the same
@@ -22,17 +22,20 @@ table gives no rows. Pairing doesn't depend on the partitions: up to four pages
 from __future__ import annotations
 
 import json
+import pickle
 import re
-import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from html import unescape
+from itertools import groupby, islice
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scratch import ship
 from .urlrules import host_of, path_of
@@ -295,11 +298,13 @@ class Page(NamedTuple):
     packed: bytes  # lines
 
     def lines(self) -> list[tuple[str, int]]:
-        return [tuple(x) for x in json.loads(zlib.decompress(self.packed))]
+        data = pa.Codec("zstd").decompress(self.packed[8:], int.from_bytes(self.packed[:8], "little"), asbytes=True)
+        return [tuple(x) for x in json.loads(data.decode("utf-8", "surrogatepass"))]
 
 
 def packed(lines: list[tuple[str, int]]) -> bytes:
-    return zlib.compress(json.dumps(lines).encode(), 1)
+    data = json.dumps(lines, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 9).compress(data, asbytes=True)
 
 
 def together(a: Page, b: Page) -> bool:
@@ -377,34 +382,52 @@ def text_of(page: Page, before: Page | None, after: Page | None) -> str:
     return main_text(lines, None)
 
 
+def bounds(keys: DataFrame, n: int, each: int = 30) -> list[tuple]:
+    """First keys of parts 1..n-1, from a sample of about `each` keys a part; fewer where keys are."""
+    rows = keys.count()
+    if rows == 0:
+        return []
+    some = sorted(tuple(x or "" for x in r) for r in keys.sample(min(1.0, each * n / rows), 7).collect())
+    return [some[len(some) * k // n] for k in range(1, n)] if len(some) >= n else some
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars (code points) of each page."""
     spark = pages.sparkSession
     ship(spark)
     url = F.col(url_col).cast("string")
-    source = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"), F.col(html_col).cast("string").alias("__html"))
-    keys = ["__host", "__path", "__id"]
+    source = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key"), F.col(html_col).cast("string").alias("__html"))
+    order = ["__host", "__path", "__url", "__key"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = bounds(source.select(*order), n)
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    parsed = T.StructType([*source.schema.fields[:4], T.StructField("__packed", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+    parsed = T.StructType([*source.schema.fields[:5], T.StructField("__packed", T.BinaryType()), T.StructField("__part", T.IntegerType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = pa.array([packed(page_lines(x)) for x in batch.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lines], names=parsed.names)
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one RDD, so that both passes read the same partitions of one shuffle
-    dealt = source.mapInArrow(parse, parsed).repartitionByRange(n, *keys).sortWithinPartitions(*keys, "__url", "__packed").rdd
-
-    def edges(k: int, rows: Iterator[Row]) -> Iterator[tuple]:
-        found = edges_of(Page(*r) for r in rows)
-        return iter([(k, found)] if found else [])
-
-    carried = spark.sparkContext.broadcast(sides(dict(dealt.mapPartitionsWithIndex(edges).collect())))
-
-    def run(k: int, rows: Iterator[Row]) -> Iterator[tuple]:
-        for page, before, after in paired((Page(*r) for r in rows), *carried.value.get(k, ())):
-            text = text_of(page, before, after)
-            yield page.id, page.url, text, len(text)
-
-    return spark.createDataFrame(dealt.mapPartitionsWithIndex(run), schema, verifySchema=False)
+            _, url, host, path, key, html = (c.to_pylist() for c in batch.columns)
+            lines = pa.array([packed(page_lines(x)) for x in html], pa.binary())
+            part = pa.array([bisect_right(cuts, (h, p, u or "", k)) for h, p, u, k in zip(host, path, url, key)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lines, part], names=parsed.names)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[Page]]]:
+        rows = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+        for k, own in groupby(rows, lambda x: x[6]):
+            yield k, (Page(i, u, h, p, lines) for i, u, h, p, _, lines, _ in own)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, own in parts(batches):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "edges": pa.array([pickle.dumps(edges_of(own))], pa.binary())})
+
+    # parts have fixed bounds, so that they hold the same pages in both passes
+    dealt = source.mapInArrow(parse, parsed).repartitionById(n, F.col("__part")).sortWithinPartitions("__part", *order, "__packed")
+    found = dealt.mapInArrow(edges, "part int, edges binary").collect()
+    carried = spark.sparkContext.broadcast(sides({r["part"]: pickle.loads(r["edges"]) for r in found}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((x.id, x.url, t, len(t)) for k, own in parts(batches) for x, before, after in paired(own, *carried.value.get(k, ())) for t in [text_of(x, before, after)])
+        while held := list(islice(made, 512)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
