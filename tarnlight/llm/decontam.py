@@ -8,12 +8,14 @@ window if the same words stand in it one after another. Steps:
    are joined with the documents' shingles, and the shingle's place in the window gives the one start a match
    can have (positional bound), which with the window's length must lie in the document (length bound).
 3. Each candidate is verified word for word; the words of true matches are hit.
-Benchmark tables go to the executors in blocks of at most `block_windows` windows, a size checked before; each
-block is held against all documents, so a larger benchmark takes more passes and loses nothing.
+Benchmark tables go to the executors in blocks of at most `block_windows` windows and `block_bytes` bytes of their
+words (or one longer window), both checked before; each block is held against all documents, so a larger benchmark
+takes more passes and loses nothing.
 
 Defined cases: a null or empty text has no words, and a null or empty item no window; an item with a null id is
 ignored; equal item ids are one item; repeated documents give a row each; a null doc_id is carried; other
-columns are ignored; empty tables give no rows, or rows without hits.
+columns are ignored or carried, under any names but those that begin with __b_, which are this module's; empty
+tables give no rows, or rows without hits.
 """
 
 from __future__ import annotations
@@ -57,18 +59,24 @@ def word_keys(item: list[str] | tuple[str, ...]) -> np.ndarray:
 class Blocks:
     """Windows of the items, with their items; reads the benchmark in bounded blocks."""
 
-    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, size: int, block_windows: int):
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, size: int, block_windows: int, block_bytes: int):
         self.source = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-        self.size, self.most = size, block_windows
+        self.size, self.most, self.most_bytes = size, block_windows, block_bytes
 
     def __iter__(self) -> Iterator[dict[tuple[str, ...], set[str]]]:
         found: dict[tuple[str, ...], set[str]] = defaultdict(set)
+        held = 0
         for row in self.source.toLocalIterator():
             for w in item_windows(split_words(row["t"]), self.size):
-                if w not in found and len(found) >= self.most:
-                    yield dict(found)
-                    found = defaultdict(set)
-                found[w].add(row["i"])
+                size = sum(map(len, w)) + 4 * len(w)
+                if w not in found:
+                    if found and (len(found) >= self.most or held + size > self.most_bytes):
+                        yield dict(found)
+                        found, held = defaultdict(set), 0
+                    held += size
+                if row["i"] not in found[w]:
+                    found[w].add(row["i"])
+                    held += len(row["i"]) + 8
         if found:
             yield dict(found)
 
@@ -145,8 +153,9 @@ def build_index(wins: list[tuple[str, ...]], docs: DataFrame, text_col: str, shi
 
 
 def find_windows(docs: DataFrame, text_col: str, carry: list[str], wins: Broadcast, index: Broadcast) -> DataFrame:
-    """carry, n_words, hits (word positions hit, as [from, to) pairs, disjoint and sorted), items (sorted, distinct)."""
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    """carry, __b_n_words, __b_hits (word positions hit, as [from, to) pairs, disjoint and sorted), __b_items (sorted, distinct)."""
+    # carried columns go through Python under plain names, as mapInArrow can't resolve a name with a dot
+    schema = T.StructType([T.StructField(f"__b_c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)] + [T.StructField("__b_n_words", T.LongType()), T.StructField("__b_hits", T.ArrayType(T.LongType())), T.StructField("__b_items", T.ArrayType(T.StringType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,27 +198,28 @@ def find_windows(docs: DataFrame, text_col: str, carry: list[str], wins: Broadca
                     hits[r], items[r] = spans, sorted(met)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array(x, f.type) for x, f in zip((np.concatenate(n_words) if n_words else [], hits, items), list(arrow)[len(carry) :]))], schema=arrow)
 
-    return docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").cast("string").alias("__tl_text")).mapInArrow(run, schema)
+    source = docs.select(*(F.col(f"`{c}`").alias(f"__b_c{i}") for i, c in enumerate(carry)), F.col(f"`{text_col}`").cast("string").alias("__b_text"))
+    return source.mapInArrow(run, schema).toDF(*carry, *schema.names[len(carry) :])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, size: int = 10, shingle: int = 5, block_windows: int = 500_000) -> DataFrame:
-    """The carried columns (by default the id) with n_words, hits and items of each document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, size: int = 10, shingle: int = 5, block_windows: int = 200_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """The carried columns (by default the id) with __b_n_words, __b_hits and __b_items of each document."""
     spark = docs.sparkSession
     ship(spark)
     sc = spark.sparkContext
     carry = carry or [id_col]
-    blocks = iter(Blocks(benchmark, item_id_col, item_text_col, size, block_windows))
+    blocks = iter(Blocks(benchmark, item_id_col, item_text_col, size, block_windows, block_bytes))
     first, second = next(blocks, {}), next(blocks, None)
     if second is None:
         return find_windows(docs, text_col, carry, sc.broadcast(first), sc.broadcast(build_index(list(first), docs, text_col, shingle)))
     # several blocks: rows get a number of their own, as each block meets all of them
-    docs = materialise(docs.select(*dict.fromkeys([*carry, text_col])).withColumn("__tl_row", F.monotonically_increasing_id()), "decontam")
+    docs = materialise(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col]))).withColumn("__b_row", F.monotonically_increasing_id()), "decontam")
     out = None
     for block in (x for group in ([first, second], blocks) for x in group):
-        part = find_windows(docs, text_col, ["__tl_row"], sc.broadcast(block), sc.broadcast(build_index(list(block), docs, text_col, shingle)))
+        part = find_windows(docs, text_col, ["__b_row"], sc.broadcast(block), sc.broadcast(build_index(list(block), docs, text_col, shingle)))
         out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("__tl_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return docs.join(merged, "__tl_row").select(*carry, "n_words", _disjoint(F.col("hits")).alias("hits"), "items")
+    merged = out.groupBy("__b_row").agg(F.max("__b_n_words").alias("__b_n_words"), F.flatten(F.collect_list("__b_hits")).alias("__b_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__b_items")))).alias("__b_items"))
+    return docs.join(merged, "__b_row").select(*(F.col(f"`{c}`") for c in carry), "__b_n_words", _disjoint(F.col("__b_hits")).alias("__b_hits"), "__b_items")
 
 
 def _disjoint(hits):
@@ -225,8 +235,8 @@ def _disjoint(hits):
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of decontaminate()'s rows."""
-    n_hit = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda a, x: F.struct(F.when(a["s"] < 0, a["n"]).otherwise(a["n"] + x - a["s"]).alias("n"), F.when(a["s"] < 0, x).otherwise(F.lit(-1)).cast("long").alias("s")))["n"]
-    return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    n_hit = F.aggregate("__b_hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda a, x: F.struct(F.when(a["s"] < 0, a["n"]).otherwise(a["n"] + x - a["s"]).alias("n"), F.when(a["s"] < 0, x).otherwise(F.lit(-1)).cast("long").alias("s")))["n"]
+    return found.select(id_col, F.col("__b_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__b_items").cast("long").alias("n_items"), F.sha2(F.array_join("__b_items", ","), 256).alias("items_sha256"), (F.size("__b_hits") > 0).alias("contaminated"))
 
 
 def items_digest(items: list[str]) -> str:

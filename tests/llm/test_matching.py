@@ -219,3 +219,15 @@ def test_components(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_benchmark_blocks_are_bounded_by_bytes(spark):
+    r = random.Random(9)
+    items = [(i, text(r, 25)) for i in range(12)] + [(50, "w" * 5000)]
+    docs = [(i, items[i][1]) for i in range(12)] + [(20, "x " + "w" * 5000)]
+    source = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontam.Blocks(source, "item_id", "text", 10, 500_000, 2000))
+    assert len(blocks) > 3 and all(len(b) == 1 or sum(sum(map(len, w)) + 4 * len(w) + sum(len(i) + 8 for i in ids) for w, ids in b.items()) <= 2100 for b in blocks)
+    got = decontam.decontaminate(spark.createDataFrame(docs, SCHEMA).withColumn("hits", F.lit(1)).withColumn("n_words", F.lit(2)), source, carry=["doc_id", "hits", "n_words"], block_bytes=2000)
+    assert sorted(map(tuple, decontam.digest(got).collect()), key=str) == brute_hits(docs, items)
+    assert got.select("hits", "n_words").distinct().count() == 1
