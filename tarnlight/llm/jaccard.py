@@ -250,13 +250,15 @@ def signature_keys(sets: list[np.ndarray]) -> list[bytes | None]:
     return out
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(4, 5), tolerance: float = 1e-6) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(4, 5), tolerance: float = 1e-6, text_hash: bool = False) -> DataFrame:
     """One row for each document: id, class_id (the smallest id of its group), n_links (other documents at or above
-    the threshold), n_copies (documents with its shingle set), class_size."""
+    the threshold), n_copies (documents with its shingle set), class_size. text_hash: also __j_th (xxhash64 of the
+    text) and __j_first, the id and text hash (as a struct id, th) of the group's first document: that with the
+    smallest id (a null last), then the smallest text hash."""
     ship(docs.sparkSession)
     each = materialise(describe(docs, id_col, text_col, size), "shingles")
     have = each.where("key IS NOT NULL")
-    classes = materialise(have.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialise(have.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64(key, 1))").alias("y")).where("size > 1")
@@ -275,11 +277,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = connected_components(found)
 
     links = found.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
-    named = classes.select("key", "copies", "id").join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(names, "component").select("key", "copies", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = each.select("id", "key").join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    named = classes.select("key", "copies", "id", "own").join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.min("own").alias("first"), F.sum("copies").alias("class_size"))
+    named = named.join(names, "component").select("key", "copies", "class_id", "class_size", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = each.select("id", "th", "key").join(named, "key", "left")
+    whole = F.col("key").isNull()
+    first = F.struct(F.when(whole, F.col("id")).otherwise(F.col("first.id")).alias("id"), F.when(whole, F.col("th")).otherwise(F.col("first.th")).alias("th"))
+    more = [F.col("th").alias("__j_th"), first.alias("__j_first")] if text_hash else []
+    return out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"), *more)
 
 
 ORACLE_SQL = r"""
