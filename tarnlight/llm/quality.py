@@ -3,14 +3,17 @@
 1. Counts of each whole text: words, symbols, repeated lines, words in repeated 8-word windows and so on.
 2. Fixed base rules: too few words, or too many words in repeated windows.
 3. Each rate of documents that pass the base goes into a quantile sketch for its language and source: integers
-   are cut to five leading bits and counted, so an entry is off by less than 1/16, and sketches merge by adding
+   are cut to eight leading bits and counted, so an entry is off by less than 1/128, and sketches merge by adding
    counts. A pair of language and source with fewer than `least_docs` documents takes its language's sketch, and
    a small language the sketch of all.
-4. A rate's upper limit is median + spread * (third quartile - median) + slack, and for the mean word length there
-   is a lower limit in the same way. Slack keeps clean groups, where most rates are 0, from strict limits.
-5. Limits are joined to the documents by language and source; a document over any limit is rejected.
+4. The group's upper limit of a rate is median + spread * (third quartile - median) of its sketch, and for the mean
+   word length there is a lower limit in the same way. No rate has a cutoff of its own.
+5. Limits are joined to the documents by language and source. A document goes if one of its counts is further from
+   what the limit gives for its length than `spread` standard deviations of a Poisson count (of one event at least):
+   one symbol in a short text says little, even where the group's limit is 0. In `repeats`, an event is a window.
 The joined table has one row for each language and source. They are counted, and up to `BROADCAST_GROUPS` rows
 are broadcast, so the documents aren't shuffled; more are joined by shuffle, where the engine splits hot groups.
+What is written between the two passes holds the columns asked for, the language, the source and the counts.
 
 Defined cases: a null or empty text has no words and fails the base; null languages and sources are values of
 their own; a null id is carried; repeated rows are judged alike; other columns are kept where asked for (names
@@ -27,16 +30,16 @@ from .scratch import materialise, spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW, LEAST_WORDS, MOST_REPEAT = 8, 20, 30
-LEAST_DOCS, SPREAD = 100, 6
+LEAST_DOCS, SPREAD, SKETCH_BITS = 100, 6, 8
 BROADCAST_GROUPS = 50_000  # rows of the table of limits that is broadcast; beyond, the join shuffles
-#: name -> (numerator, denominator, factor, slack)
+#: name -> (count, what it is a share of, factor of the sketched rate, size of one event)
 RATES = {
-    "symbols": ("n_symbols", "n_words", 1000, 200),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 400),
-    "repeats": ("n_repeat_words", "n_words", 1000, 300),
-    "capitals": ("n_capitals", "word_chars", 1000, 150),
-    "stutter": ("n_stutter", "n_words", 1000, 150),
-    "length": ("word_chars", "n_words", 100, 150),
+    "symbols": ("n_symbols", "n_words", 1000, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, WINDOW),
+    "capitals": ("n_capitals", "word_chars", 1000, 1),
+    "stutter": ("n_stutter", "n_words", 1000, 1),
+    "length": ("word_chars", "n_words", 100, 1),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_stutter")
 
@@ -94,8 +97,8 @@ def rate(name: str) -> Column:
 
 
 def entry(v: Column) -> Column:
-    """The sketch's entry of an integer: its five leading bits."""
-    shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
+    """The sketch's entry of an integer: its leading bits."""
+    shift = F.greatest(F.length(F.bin(v)) - SKETCH_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
@@ -111,32 +114,39 @@ def limits(sk: DataFrame, keys: list[str], tag: str) -> DataFrame:
     run = sk.groupBy(*keys, "rate", "entry").agg(F.sum("n").alias("n")).withColumn("below", F.sum("n").over(part.orderBy("entry"))).withColumn("all", F.sum("n").over(part))
     quart = [F.min(F.when(F.col("below") * 4 >= F.col("all") * k, F.col("entry"))).alias(f"q{k}") for k in (1, 2, 3)]
     each = run.groupBy(*keys, "rate").agg(F.first("all").alias("n"), *quart)
-    high = [F.max(F.when(F.col("rate") == name, F.col("q2") + SPREAD * (F.col("q3") - F.col("q2")) + RATES[name][3])).alias(f"{tag}high_{name}") for name in RATES]
-    low = F.max(F.when(F.col("rate") == "length", F.col("q2") - SPREAD * (F.col("q2") - F.col("q1")) - RATES["length"][3])).alias(f"{tag}low_length")
+    high = [F.max(F.when(F.col("rate") == name, F.col("q2") + SPREAD * (F.col("q3") - F.col("q2")))).alias(f"{tag}high_{name}") for name in RATES]
+    low = F.max(F.when(F.col("rate") == "length", F.greatest(F.col("q2") - SPREAD * (F.col("q2") - F.col("q1")), F.lit(0)))).alias(f"{tag}low_length")
     return each.groupBy(*keys).agg(F.max("n").alias(f"{tag}n"), *high, low)
 
 
-def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs with __q_<count> for the COUNTS, __q_base_failed and __q_kept."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    counts = materialise(counted(docs, text_col), "quality")
-    lang, source = F.col(f"`{lang_col}`"), F.col(f"`{source_col}`")
-    fine = sketch(counts.select(lang.alias("g_lang"), source.alias("g_source"), *(q(c) for c in COUNTS)), ["g_lang", "g_source"])
-    fine = materialise(fine.withColumn("g_all", F.lit(0)), "sketch")
-    pairs = limits(fine, ["g_lang", "g_source"], "__q_a_").withColumn("g_all", F.lit(0))
+def off_limit(name: str, limit: str, side: int) -> Column:
+    """Whether a count is further above (side 1) or below (-1) the limit than chance explains; false without a limit."""
+    top, bottom, factor, unit = RATES[name]
+    given = F.col(q(limit)).cast("double") * F.col(q(bottom))
+    far = (F.col(q(top)).cast("double") * factor - given) * side
+    return F.coalesce(far > SPREAD * F.sqrt(float(unit * factor) * F.greatest(given, F.lit(float(unit * factor)))), F.lit(False))
+
+
+def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (by default all) with __q_<count> for the COUNTS, __q_base_failed and __q_kept."""
+    cols = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
+    made = counted(docs.select(*cols, F.col(f"`{lang_col}`").alias(q("lang")), F.col(f"`{source_col}`").alias(q("source")), F.col(f"`{text_col}`").alias(q("input"))), q("input"))
+    counts = materialise(made.drop(q("input")), "quality")
+    lang, source = F.col(q("lang")), F.col(q("source"))
+    fine = materialise(sketch(counts.select(lang.alias("g_lang"), source.alias("g_source"), *(q(c) for c in COUNTS)), ["g_lang", "g_source"]), "sketch")
+    pairs = limits(fine, ["g_lang", "g_source"], "__q_a_")
     langs = limits(fine, ["g_lang"], "__q_b_").withColumnRenamed("g_lang", "b_lang")
-    every = limits(fine, ["g_all"], "__q_c_")
-    pairs = pairs.join(langs, F.col("g_lang").eqNullSafe(F.col("b_lang"))).join(every, "g_all")
+    every = limits(fine.withColumn("g_all", F.lit(0)), ["g_all"], "__q_c_")
     names = [f"high_{n}" for n in RATES] + ["low_length"]
-    pick = lambda n: F.when(F.col("__q_a_n") >= LEAST_DOCS, F.col(f"__q_a_{n}")).when(F.col("__q_b_n") >= LEAST_DOCS, F.col(f"__q_b_{n}")).otherwise(F.col(f"__q_c_{n}")).alias(q(n))
-    table = pairs.select(F.col("g_lang").alias("__q_lang"), F.col("g_source").alias("__q_source"), *map(pick, names))
+    pairs = pairs.join(langs, F.col("g_lang").eqNullSafe(F.col("b_lang"))).withColumn("every", every.select(F.struct(*(f"__q_c_{n}" for n in names))).scalar())
+    pick = lambda n: F.when(F.col("__q_a_n") >= LEAST_DOCS, F.col(f"__q_a_{n}")).when(F.col("__q_b_n") >= LEAST_DOCS, F.col(f"__q_b_{n}")).otherwise(F.col(f"every.__q_c_{n}")).alias(q(n))
+    table = pairs.select(F.col("g_lang").alias("__q_lim_lang"), F.col("g_source").alias("__q_lim_source"), *map(pick, names))
     if fine.select("g_lang", "g_source").distinct().count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
-    joined = counts.join(table, lang.eqNullSafe(F.col("__q_lang")) & source.eqNullSafe(F.col("__q_source")), "left")
-    over = F.lit(False)
+    joined = counts.join(table, lang.eqNullSafe(F.col("__q_lim_lang")) & source.eqNullSafe(F.col("__q_lim_source")), "left")
+    over = off_limit("length", "low_length", -1)
     for name in RATES:
-        over = over | F.coalesce(rate(name) > F.col(q(f"high_{name}")), F.lit(False))
-    over = over | F.coalesce(rate("length") < F.col(q("low_length")), F.lit(False))
+        over = over | off_limit(name, f"high_{name}", 1)
     return joined.select(*cols, *(F.col(q(c)) for c in COUNTS), base_failed().alias(q("base_failed")), (~base_failed() & ~over).alias(q("kept")))
 
 
@@ -144,9 +154,6 @@ def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return judged.select(id_col, *(F.col(q(c)).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-_SLACK_SQL = "CASE rate " + " ".join(f"WHEN '{n}' THEN {s}" for n, (*_, s) in RATES.items()) + " END"
-
-
 def _level(name: str, keys: str) -> str:
     over = f"PARTITION BY {keys + ', ' if keys else ''}rate"
     group = f"{keys + ', ' if keys else ''}rate"
@@ -167,9 +174,10 @@ c AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(
  len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len([i for i in generate_series(2, len(w)) if w[i] = w[i - 1]]) AS n_stutter
  FROM d JOIN w USING (r) LEFT JOIN p USING (r)),
 f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT} * n_words AS base_failed FROM c),
-v AS (SELECT r, lang, source, base_failed, x[1] AS rate, CAST(x[2] AS BIGINT) AS v FROM (SELECT r, lang, source, base_failed, unnest([{", ".join(f"['{n}', CAST(({top} * {fa}) // greatest({bottom}, 1) AS VARCHAR)]" for n, (top, bottom, fa, _) in RATES.items())}]) AS x FROM f)),
-e AS (SELECT lang, source, rate, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS entry FROM v WHERE NOT base_failed),{_level("a", "lang, source")},{_level("b", "lang")},{_level("cc", "")},
-lim AS (SELECT lang, source, rate, CASE WHEN a.n >= {LEAST_DOCS} THEN a.q1 WHEN b.n >= {LEAST_DOCS} THEN b.q1 ELSE cc.q1 END AS q1, CASE WHEN a.n >= {LEAST_DOCS} THEN a.q2 WHEN b.n >= {LEAST_DOCS} THEN b.q2 ELSE cc.q2 END AS q2, CASE WHEN a.n >= {LEAST_DOCS} THEN a.q3 WHEN b.n >= {LEAST_DOCS} THEN b.q3 ELSE cc.q3 END AS q3 FROM a JOIN b USING (lang, rate) JOIN cc USING (rate)),
-o AS (SELECT r, bool_or(v > q2 + {SPREAD} * (q3 - q2) + {_SLACK_SQL} OR rate = 'length' AND v < q2 - {SPREAD} * (q2 - q1) - {RATES["length"][3]}) AS over FROM v JOIN lim USING (lang, source, rate) GROUP BY r)
+x AS (SELECT r, lang, source, base_failed, unnest([{", ".join(f"{{'rate': '{n}', 'top': CAST({top} AS DOUBLE), 'bottom': CAST({bottom} AS DOUBLE), 'factor': {fa}, 'unit': {u}, 'v': CAST(({top} * {fa}) // greatest({bottom}, 1) AS BIGINT)}}" for n, (top, bottom, fa, u) in RATES.items())}], recursive := true) FROM f),
+e AS (SELECT lang, source, rate, (v >> greatest(length(bin(v)) - {SKETCH_BITS}, 0)) << greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS entry FROM x WHERE NOT base_failed),{_level("a", "lang, source")},{_level("b", "lang")},{_level("cc", "")},
+lim AS (SELECT a.lang, a.source, rate, CASE WHEN a.n >= {LEAST_DOCS} THEN a.q1 WHEN b.n >= {LEAST_DOCS} THEN b.q1 ELSE cc.q1 END AS q1, CASE WHEN a.n >= {LEAST_DOCS} THEN a.q2 WHEN b.n >= {LEAST_DOCS} THEN b.q2 ELSE cc.q2 END AS q2, CASE WHEN a.n >= {LEAST_DOCS} THEN a.q3 WHEN b.n >= {LEAST_DOCS} THEN b.q3 ELSE cc.q3 END AS q3 FROM a JOIN b USING (lang, rate) JOIN cc USING (rate)),
+h AS (SELECT r, rate, top * factor AS got, (q2 + {SPREAD} * (q3 - q2)) * bottom AS high, greatest(q2 - {SPREAD} * (q2 - q1), 0) * bottom AS low, CAST(unit * factor AS DOUBLE) AS one FROM x JOIN lim USING (lang, source, rate)),
+o AS (SELECT r, bool_or(got - high > {SPREAD} * sqrt(one * greatest(high, one)) OR rate = 'length' AND low - got > {SPREAD} * sqrt(one * greatest(low, one))) AS over FROM h GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM f LEFT JOIN o USING (r)
 """

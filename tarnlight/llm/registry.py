@@ -32,7 +32,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
