@@ -40,7 +40,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrules.judge_urls(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
+    return urlrules.judge_mirrored(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ A rule (verdict, host, path) fits its host and all subdomains where the url's pa
 rule with the longest text wins, on a tie the one that sorts first, then block. Few rules become one expression;
 more than `INLINE` are joined on the suffixes of distinct hosts, so both ways give the same.
 
-Urls are equivalent when redirects or canonical links connect them: the connected components of those edges,
-over urls without scheme and fragment. A url with a rule of its own keeps that rule's verdict. One without is
-blocked if a member of its component is blocked by a rule and no member is explicitly allowed; else allowed.
+Urls are equivalent when redirects, canonical links or refreshes connect them, or where asked for an equal value of
+the pages (as their article: mirrors): the connected components of those edges, over urls without scheme and
+fragment. Links in comments, scripts and the like are none; a page may have several. A url with a rule of its own
+keeps that rule's verdict. One without is blocked if a member of its component is blocked by a rule and no member is
+explicitly allowed; else allowed. A member is judged by its path as it is written: one without a path has no rule.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and no equivalence; null or
 empty html has no link; repeated rows each give a row; other columns are ignored; empty tables give no rows.
@@ -15,10 +17,13 @@ empty html has no link; repeated rows each give a row; other columns are ignored
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .scratch import materialise
 
 INLINE = 64
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -58,15 +63,27 @@ def resolved(base: Column, link: Column) -> Column:
     )
 
 
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|template|noscript|title|xmp)\b.*?(?:</\1\s*>|\z)"
+
+
 def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """src, dst: canonical links and refreshes of pages, as urls."""
-    html = F.col(html_col).cast("string")
-    tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    canon = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]*)", 1)
-    meta = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    fresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]*)", 1)
-    found = pages.select(F.col(url_col).cast("string").alias("src"), canon.alias("a"), fresh.alias("b")).where("a <> '' OR b <> ''")
-    return found.select("src", F.explode(F.array("a", "b")).alias("link")).where("link <> ''").select("src", resolved(F.col("src"), F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))).alias("dst"))
+    html = F.col(f"`{html_col}`").cast("string")
+    some = pages.select(F.col(f"`{url_col}`").cast("string").alias("src"), html.alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", UNSEEN, " "), F.lit(r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    tag = some.select("src", F.explode(tags).alias("tag"))
+    target = (
+        F.when(F.col("tag").rlike(r"(?is)^<link\b.*?\srel\s*=\s*(?:[\"'][^\"'>]*\bcanonical\b|canonical\b)"), F.regexp_extract("tag", r"(?is)\shref\s*=\s*[\"']?\s*([^\"'\s>]*)", 1))
+        .when(F.col("tag").rlike(r"(?is)^<meta\b.*?\shttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]*)", 1))
+    )
+    found = tag.select("src", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
+    return found.select("src", resolved(F.col("src"), F.col("link")).alias("dst"))
+
+
+def article_of(html: Column) -> Column:
+    """What stands in the first article element, or null."""
+    found = F.regexp_extract(html.cast("string"), r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
+    return F.when(found != "", found)
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -92,19 +109,32 @@ def rule_table(spark, rules=RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "verdict string, host string, path string")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, *, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
-    """id, host, path, rule, verdict of each page. redirects: src, dst (urls)."""
-    url = F.col(url_col).cast("string")
-    base = pages.select(F.col(id_col).alias("__id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), node_of(url).alias("node"))
-    edges = links(pages, url_col, html_col) if html_col else None
+def judge_urls(pages: DataFrame, rules: DataFrame, *, redirects: DataFrame | None = None, same: Column | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+    """id, host, path, rule, verdict of each page. redirects: src, dst (urls). same: an expression over the pages;
+    urls of pages with one value of it, not null, are aliases of each other."""
+    url = F.col(f"`{url_col}`").cast("string")
+    base = pages.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), node_of(url).alias("node"))
+    judged = ruled(base, rules)
+    named = links(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         known = redirects.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-        edges = known if edges is None else edges.unionByName(known)
-    judged = ruled(base, rules)
-    if edges is not None:
-        groups = connected_components(edges.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v")))
-        parts = ruled(groups.withColumns({"host": F.regexp_extract("node", r"^([^/?#]*)", 1), "path": F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)}), rules)
-        spread = parts.groupBy("component").agg((F.max(F.col("ruling") == "block") & ~F.coalesce(F.max(F.col("ruling") == "allow"), F.lit(False))).alias("spread"))
+        named = known if named is None else named.unionByName(known)
+    forms, edges = [], []  # urls of members as they are written; edges between nodes
+    if named is not None:
+        named = materialise(named, "links")  # read for its edges and for its urls
+        forms += [named.select(F.col("src").alias("url")), named.select(F.col("dst").alias("url"))]
+        edges += [named.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v"))]
+    if same is not None:
+        # the value is a node beside the urls, so that its pages are a star; a url's node holds a slash, this doesn't
+        pairs = materialise(pages.select(url.alias("url"), node_of(url).alias("u"), F.concat(F.lit("same:"), F.sha2(same.cast("string"), 256)).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"), "same")
+        often = pairs.groupBy("v").agg((F.min("u") < F.max("u")).alias("often")).where("often").select("v")
+        pairs = pairs.join(often, "v", "left_semi")
+        forms, edges = [*forms, pairs.select("url")], [*edges, pairs.select("u", "v")]
+    if edges:
+        groups = connected_components(reduce(DataFrame.unionByName, edges))
+        urls = reduce(DataFrame.unionByName, forms).select(node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("node IS NOT NULL").distinct()
+        parts = ruled(urls, rules).where("ruling IS NOT NULL").join(groups, "node")
+        spread = parts.groupBy("component").agg((F.max(F.col("ruling") == "block") & ~F.max(F.col("ruling") == "allow")).alias("spread"))
         blocked = groups.join(spread.where("spread"), "component").select("node", F.lit("block").alias("alias"))
         judged = judged.join(blocked, "node", "left")
     else:
@@ -112,11 +142,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, redirects: DataFrame | Non
     return judged.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("ruling", "alias", F.lit("allow")).alias("verdict"))
 
 
-#: No page of the tables has a canonical link or refresh, so equivalence adds nothing there; tests/llm covers it.
-ORACLE_SQL = """
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS s FROM pages),
-p AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(s, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(s, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+def judge_mirrored(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """judge_urls with mirrors: urls of pages whose article is the same to the byte are aliases."""
+    return judge_urls(pages, rules, same=article_of(F.col("html")))
+
+
+#: Aliases here are urls that are equal but for scheme and fragment, and mirrors; the tables have no canonical link.
+ORACLE_SQL = r"""
+WITH RECURSIVE u AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS art, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS s FROM pages),
+p AS (SELECT row_number() OVER () AS r, page_id, art, translate(regexp_extract(s, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(s, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(s, '^[^/?#]*([^#]*)', 1) AS rest FROM u),
 k(v, h, q) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-m AS (SELECT r, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS v FROM p JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (r)
+m AS (SELECT r, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS v FROM p JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY r),
+n AS (SELECT r, page_id, host, path, nullif(art, '') AS art, CASE WHEN host <> '' THEN host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS node, rule, v FROM p LEFT JOIN m USING (r)),
+e AS (SELECT DISTINCT a.node AS x, b.node AS y FROM n a JOIN n b ON a.art = b.art AND a.node <> b.node),
+c AS (SELECT x, x AS y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+s AS (SELECT x AS node, bool_or(v = 'block') AND NOT bool_or(v = 'allow') AS spread FROM c JOIN n ON n.node = c.y WHERE v IS NOT NULL GROUP BY x)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN spread THEN 'block' END, 'allow') AS verdict FROM n LEFT JOIN s USING (node)
 """

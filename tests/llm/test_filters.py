@@ -134,9 +134,12 @@ def brute_verdicts(pages, rules, edges):
         rest = re.match(r"[^/?#]*([^#]*)", s)[1]
         return h and h + (rest if rest.startswith("/") else "/" + rest)
 
-    near = {}
-    for a, b in edges:
-        a, b = node(a), node(b)
+    near, forms = {}, {}
+    for pair in edges:
+        for u in pair:
+            if node(u):
+                forms.setdefault(node(u), set()).add(split(u)[:2])
+        a, b = map(node, pair)
         if a and b:
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
@@ -151,7 +154,7 @@ def brute_verdicts(pages, rules, edges):
                     if x not in seen:
                         seen.add(x)
                         todo.append(x)
-            met = {rule(*re.match(r"([^/?#]*)([^?#]*)", x).groups())[1] for x in seen if x}
+            met = {rule(*f)[1] for x in seen if x for f in forms[x]}
             verdict = "block" if "block" in met and "allow" not in met else "allow"
         out.append((i, h, p, name, verdict))
     return sorted(out, key=str)
@@ -173,10 +176,24 @@ def test_canonical_links_and_refreshes(spark):
     pages = [(1, "http://a.com/p/1", '<link href="http://bad.net/x" rel="canonical">'), (2, "http://a.com/p/2", "<LINK REL='canonical' HREF='1'>"), (3, "http://a.com/p/3", '<meta http-equiv="refresh" content="0; url=/p/2">'), (4, "http://a.com/p/4", '<a href="http://bad.net/x">'), (5, "http://a.com/p/5", None)]
     got = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), urlrules.rule_table(spark)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+    # a url without a path has no rule, so it blocks nothing; several links, and links that no browser follows
+    pages = [(1, "http://x.net", '<link rel="canonical" href="http://y.com/">'), (2, "http://y.com/", ""), (3, "http://z.com/1", '<!-- <link rel="canonical" href="http://bad.net/x"> --><script>"<link rel=canonical href=http://bad.net/x>"</script>'), (4, "http://z.com/2", '<link rel="alternate canonical" href="/3"><link data-a=">" rel="canonical" href="http://bad.net/x">'), (5, "http://z.com/3", None), (6, "http://z.com/4", "<!-- <link rel='canonical' href='http://bad.net/x'>")]
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), urlrules.rule_table(spark)).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow"}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert urlrules.judge_mirrored(empty, urlrules.rule_table(spark)).count() == 0
     assert urlrules.judge_urls(empty, urlrules.rule_table(spark)).count() == 0
 
 
+def test_mirrors_take_over_a_block_but_not_an_allow(spark):
+    art = "<nav>{}</nav><article class=x>{}</article>".format
+    pages = [(1, "http://a.com/1", art(1, "A")), (2, "http://b.net/2", art(2, "A")), (3, "http://c.com/3", art(3, "B")), (4, "http://d.net/4", art(4, "B")), (5, "http://e.org/fr/5", art(5, "B")), (6, "http://f.com/6", art(6, "C")), (7, None, art(7, "A")), (8, "http://a.com/1#x", art(8, "D")), (9, "https://g.com/9", art(9, "D")), (10, "http://h.com/", "<article></article>"), (11, "http://i.net/", "<article></article>")]
+    got = [tuple(r) for r in urlrules.judge_mirrored(spark.createDataFrame(pages, "page_id long, url string, html string"), urlrules.rule_table(spark)).collect()]
+    edges = [(a[1], b[1]) for a in pages for b in pages if a[0] < b[0] and a[1] and b[1] and (x := re.search("<article[^>]*>(.+)</article>", a[2])) and (y := re.search("<article[^>]*>(.+)</article>", b[2])) and x[1] == y[1]]
+    assert sorted(got, key=str) == brute_verdicts([p[:2] for p in pages], urlrules.RULES, edges)
+    assert {r[0]: r[4] for r in got} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow", 11: "block"}
+
+
 # ---------------------------------------------------------------- lines
 def brute_dedup(docs, long_words=50):
     from hashlib import md5
