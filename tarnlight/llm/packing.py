@@ -1,10 +1,16 @@
 """Vector bin packing of documents into training sequences (dot-product heuristic).
 
 Every sequence has three limits at once: tokens, segments (pieces) and loss-bearing tokens. Items are
-remainders of documents; an open sequence takes, again and again, the item whose demand vector has the
-largest dot product with what the sequence has left, among those that fit. A document may be cut anywhere,
-so what no item fits is filled with a cut piece of the best one. Packing runs inside each input partition
-over a bounded buffer of items, so no row is shuffled and a lost task can be repeated by itself.
+remainders of documents; an open sequence takes, again and again, the item whose demand vector (tokens, one segment,
+loss tokens, each as a share of its limit) has the largest dot product with what the sequence has left of each, among
+those that fit whole. A document may be cut anywhere: an item that not even an empty sequence could hold begins one
+with a cut piece, and what no item fits is filled with cut pieces, chosen by the dot product of what can be taken.
+A sequence that nothing more fits, as its segments or loss tokens are used up, is cut into ones of power-of-two
+lengths, which need no padding. Packing runs inside each input partition over a bounded buffer of items, so no row
+is shuffled and a lost task can be repeated by itself; which pieces are together depends on the partitions.
+
+Which tokens bear loss: those from a document's loss start on (a column), or all but the first `prompt_share` of its
+tokens, the stand-in for the prompt of instruction data where a table has no such column.
 
 Defined cases: a null or empty text is the end id alone; a null id is carried as null; repeated rows are
 packed once each; other columns are ignored; an empty table gives no rows.
@@ -33,11 +39,15 @@ OUT = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "l
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 64
-    loss_tokens: int = 2048
+    segments: int = 8
+    loss_tokens: int = 1664
     buffer: int = 1024  # items weighed at a time
 
 
+#: No loss limit of its own: every token may bear loss.
+TOKENS_ONLY = Limits(segments=64, loss_tokens=2048)
+
+
 class Packer:
     """Packs a stream of documents; `closed` holds the pieces of finished sequences."""
 
@@ -46,13 +56,9 @@ class Packer:
         self.cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=float)
         self.next_id = first_sequence
         self.docs: list[tuple] = []  # (id, ids, loss_start) of each buffered item
-        self.span = np.zeros((0, 2), np.int64)  # its start and end
+        self.spans: list[tuple[int, int]] = []  # its start and end
         self.closed: list[tuple] = []
 
-    def room(self, start: int, loss_start: int, tokens: int, loss: int) -> int:
-        """Tokens from `start` that fit what is left."""
-        return max(0, min(tokens, max(start, loss_start) - start + loss))
-
     def close(self, pieces: list[tuple]) -> None:
         """pieces: (document, start, end), in order."""
         used = sum(e - s for _, s, e in pieces)
@@ -64,57 +70,60 @@ class Packer:
         self.next_id += 1
 
     def add(self, key, ids: np.ndarray, loss_start: int) -> None:
-        doc, start, n = (key, ids, loss_start), 0, len(ids)
-        while (size := self.room(start, loss_start, self.lim.tokens, self.lim.loss_tokens)) == self.lim.tokens and n - start >= size:
-            self.close([(doc, start, start + size)])
-            start += size
-        if start < n:
-            self.docs.append(doc)
-            self.span = np.append(self.span, [[start, n]], axis=0)
+        self.docs.append((key, ids, loss_start))
+        self.spans.append((0, len(ids)))
         if len(self.docs) >= 2 * self.lim.buffer:
             self.pack(keep=self.lim.buffer)
 
+    def score(self, have: np.ndarray, size: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        """The dot product of demands and what is left, each as a share of its limit."""
+        left = have / self.cap
+        return size * (left[0] / self.cap[0]) + left[1] / self.cap[1] + loss * (left[2] / self.cap[2])
+
     def pack(self, keep: int = 0) -> None:
         """Fill sequences until at most `keep` items wait; with keep = 0 all items are placed."""
-        docs, span = self.docs, self.span
+        docs, span = self.docs, np.array(self.spans, np.int64).reshape(-1, 2)
         loss_start = np.array([d[2] for d in docs], np.int64)
-        alive = np.ones(len(docs), bool)
+        size = span[:, 1] - span[:, 0]
+        free = np.clip(loss_start - span[:, 0], 0, size)  # tokens before the first that bears loss
         left = len(docs)
+        most = np.array([self.lim.tokens, self.lim.segments, self.lim.loss_tokens], np.int64)
         while left > keep:
-            have = np.array([self.lim.tokens, self.lim.segments, self.lim.loss_tokens], np.int64)
-            pieces: list[tuple] = []
+            have, pieces = most.copy(), []
             while have[0] > 0 and have[1] > 0 and left:
-                size = span[:, 1] - span[:, 0]
-                loss = np.maximum(0, span[:, 1] - np.maximum(span[:, 0], loss_start))
-                weight = have / self.cap / self.cap
-                score = size * weight[0] + weight[1] + loss * weight[2]
-                fits = alive & (size <= have[0]) & (loss <= have[2])
-                if have[1] == 1:  # the last piece should fill the sequence
-                    fits &= size == have[0]
-                if fits.any():
-                    i = int(np.argmax(np.where(fits, score, -1.0)))
-                    take = int(size[i])
-                else:  # cut the longest item that can give anything
-                    i = int(np.argmax(np.where(alive, np.minimum(size, have[0]), -1)))
-                    take = min(int(size[i]), self.room(int(span[i, 0]), int(loss_start[i]), int(have[0]), int(have[2])))
-                    if take == 0:
+                loss = size - free
+                take = np.minimum(np.minimum(size, have[0]), free + have[2])
+                whole = (take == size) & (size > 0)
+                large = (size > most[0]) | (loss > most[2])
+                if not pieces and large.any():
+                    pool = large
+                elif have[1] == 1:  # the last piece should fill the sequence
+                    pool = take == have[0]
+                    pool = pool & whole if (pool & whole).any() else pool
+                else:
+                    pool = whole
+                if not pool.any():
+                    pool = take > 0
+                    if not pool.any():
                         break
-                s = int(span[i, 0])
-                pieces.append((docs[i], s, s + take))
-                have -= (take, 1, max(0, s + take - max(s, int(loss_start[i]))))
-                span[i, 0] += take
-                if span[i, 0] == span[i, 1]:
-                    alive[i] = False
-                    left -= 1
-            if have[0] > 0 and not left:
+                i = int(np.argmax(np.where(pool, self.score(have, take, np.maximum(0, take - free)), -1.0)))
+                n, s = int(take[i]), int(span[i, 0])
+                pieces.append((docs[i], s, s + n))
+                have -= (n, 1, max(0, n - int(free[i])))
+                span[i, 0] += n
+                size[i] -= n
+                free[i] = max(0, int(free[i]) - n)
+                left -= size[i] == 0
+            if have[0] > 0:
                 self.split(pieces)
             else:
                 self.close(pieces)
+        alive = size > 0
         self.docs = [d for d, a in zip(docs, alive) if a]
-        self.span = span[alive]
+        self.spans = [(int(a), int(b)) for a, b in span[alive]]
 
     def split(self, pieces: list[tuple]) -> None:
-        """The last, unfilled sequence becomes sequences of power-of-two lengths, which need no padding."""
+        """An unfilled sequence becomes sequences of power-of-two lengths, which need no padding."""
         total = sum(e - s for _, s, e in pieces)
         while total:
             want, part = 1 << (total.bit_length() - 1), []
@@ -130,14 +139,15 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", loss_start_col: str | None = None, limits: Limits = Limits(), tokenizer: str | None = None, eos_id: int = EOS_ID
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", loss_start_col: str | None = None, prompt_share: float = 0.25, limits: Limits = Limits(), tokenizer: str | None = None, eos_id: int = EOS_ID
 ) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens,
-    sequence_tokens. loss_start_col: the token position from which a document's tokens bear loss (null: 0)."""
+    sequence_tokens. loss_start_col: the token position from which a document's tokens bear loss (null: 0); without
+    it, that is the first `prompt_share` of its tokens, rounded down."""
     ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    loss = F.col(loss_start_col).cast("long") if loss_start_col else F.lit(0).cast("long")
-    source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.coalesce(loss, F.lit(0)).alias("l"))
+    loss = F.coalesce(F.col(f"`{loss_start_col}`").cast("long"), F.lit(0)) if loss_start_col else F.lit(-1).cast("long")
+    source = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"), loss.alias("l"))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in OUT])
     arrow = to_arrow_schema(schema)
 
@@ -150,7 +160,8 @@ def pack_documents(
 
         for batch in batches:
             for k, t, at in zip(*(c.to_pylist() for c in batch.columns)):
-                p.add(k, np.append(enc.ids(t), np.int32(eos_id)), max(0, at))
+                ids = np.append(enc.ids(t), np.int32(eos_id))
+                p.add(k, ids, max(0, at) if loss_start_col else int(len(ids) * prompt_share))
             if len(p.closed) >= 1000:
                 yield out()
         if p.docs:
