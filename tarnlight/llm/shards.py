@@ -2,10 +2,11 @@
 
 1. Documents are encoded and cut into sequences of `stride` ids inside each partition; the last one of a
    partition is padded. They are written once to the shared folder, so later steps read the same rows.
-2. Sequences are numbered 0..N-1 by partition counts (one count for each partition reaches the driver).
+2. Sequences are numbered 0..N-1 by partition counts: one count for each partition reaches the driver, and their
+   running total goes back as a table of that many rows, broadcast up to `BROADCAST_PARTS` of them.
 3. A keyed Feistel permutation of the smallest even-bit domain over N, walked until it lands below N, gives
    each sequence its slot in training order: a bijection without a sort key column or a shuffle of its own.
-4. Slots are range-partitioned by shard and sorted; each shard is `shard_sequences` sequences of `stride`
+4. Slots are range-partitioned by shard, by bounds that N gives without a sample, and sorted; each shard is `shard_sequences` sequences of `stride`
    little-endian ids, so sequence k of a shard begins at byte k * stride * width. In the shuffle ids are packed.
 5. Each shard is written as a file and the digest is taken from the files as a reader finds them: it goes through
    them in order and can begin at any slot, as a slot alone says the file and the byte.
@@ -31,6 +32,9 @@ from .scratch import drop_at_end, shared_dir, ship, spread
 from .tokens import EOS_ID, default_tokenizer, encoder
 
 
+BROADCAST_PARTS = 1_000_000  # rows of two numbers in the table of first sequence numbers that is broadcast
+
+
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """Slot of each index: a keyed permutation of 0..n-1."""
     half = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
@@ -97,20 +101,24 @@ def ordered(docs: DataFrame, *, key: int = 20240229, shard_sequences: int = 256,
     drop_at_end(spark, path)
     made = spark.read.schema(made.schema).parquet(path)
     counts = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    total, base = 0, {}
+    total, first = 0, []
     for part, n in counts:
-        base[part] = total
+        first.append((part, total))
         total += n
     n_shards = -(-total // shard_sequences)
+    n = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    bases = spark.createDataFrame(first, "part long, base long")
+    numbered = made.join(F.broadcast(bases) if len(first) <= BROADCAST_PARTS else bases, "part").select((F.col("base") + F.col("local")).alias("number"), "n_tokens", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, local, n_tokens, ids = (c.to_pylist() for c in batch.columns)
-            slot = feistel(np.array([base[p] for p in part], np.int64) + np.array(local, np.int64), total, key)
-            yield pa.RecordBatch.from_pydict({"shard": slot // shard_sequences, "slot": slot, "n_tokens": n_tokens, "n_bytes": pa.array(map(len, ids), pa.int64()), "packed": pa.array(pack(ids), pa.binary())})
+            number, n_tokens, ids = batch.columns
+            slot = feistel(number.to_numpy(), total, key)
+            shard, ids = slot // shard_sequences, ids.to_pylist()
+            yield pa.RecordBatch.from_pydict({"range": pa.array(shard * n // max(1, n_shards), pa.int32()), "shard": shard, "slot": slot, "n_tokens": n_tokens, "n_bytes": pa.array(map(len, ids), pa.int64()), "packed": pa.array(pack(ids), pa.binary())})
 
-    n = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return made.mapInArrow(place, "shard long, slot long, n_tokens long, n_bytes long, packed binary").repartitionByRange(n, "shard").sortWithinPartitions("slot")
+    placed = numbered.mapInArrow(place, "range int, shard long, slot long, n_tokens long, n_bytes long, packed binary")
+    return placed.repartitionById(n, F.col("range")).sortWithinPartitions("slot").drop("range")
 
 
 def shard_blobs(seqs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnlight.llm import attribution, packing, shards
 from tarnlight.llm.packing import Limits, Packer
@@ -247,6 +248,25 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     assert sorted(r["slot"] for r in digest) == list(range(len(found)))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_each_slot_holds_the_sequence_that_the_permutation_sends_there(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(shards, "BROADCAST_PARTS", 0)
+    docs = [(i, f"text number {i} " * (i * 13 % 60), 1, "x") for i in range(200)] + [(None, None, None, None), (1, "日本語 " * 500, 2, "y")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 5), "doc_id long, text string, slot long, ids string")
+    stride, key = 32, 99
+    # brute force: the documents of each partition one after another, cut at every stride, the last padded
+    flat = []
+    for k in range(5):
+        ids = [x for r in df.where(F.spark_partition_id() == k).collect() for x in [*ENC.slow.encode(r["text"] or "", add_special_tokens=False).ids, 1]]
+        flat += [(ids[a : a + stride] + [1] * stride)[:stride] for a in range(0, len(ids), stride)]
+    want = dict(zip(shards.feistel(np.arange(len(flat)), len(flat), key).tolist(), flat))
+    monkeypatch.setattr(shards, "spread", lambda x: x)
+    rows = shards.ordered(df, stride=stride, shard_sequences=8, key=key)
+    got = {r["first_slot"] + i: np.frombuffer(r["payload"], "<u2").reshape(-1, stride)[i].tolist() for r in shards.shard_blobs(rows).collect() for i in range(r["n_sequences"])}
+    assert got == want
+
+
 def test_shards_of_an_empty_table(spark):
     assert shards.shard_blobs(shards.ordered(spark.createDataFrame([], SCHEMA))).count() == 0
 
