@@ -1,18 +1,21 @@
 """Main text of web pages by differencing each page with its nearest url.
 
 1. A page is read into lines: the text of each block, with character references decoded and white space turned
-   into single spaces. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader
-   comments give no lines, by element, role, class or id. A class or id counts as a whole, or with words of place
-   like "left" beside it. It never drops an article or main element, nor one that holds the page's only ones; in
-   reader comments and related pages, only a main element counts. A line knows whether it stands in an article or main element.
+   into single spaces; scripts and styles give none. Markup hints at what a line is: one of an article, of a main
+   element, neither, or one of a menu, header, footer, sidebar, notice, advert, form or reader comment, by element,
+   role, class or id ("hinted"). A class or id counts as a whole, or with words of place like "left" beside it. It
+   never hints at an article or main element, nor at one that holds the page's only ones; in reader comments and
+   related pages, only a main element counts.
 2. Pages are dealt by ranges and sorted by host, path and url, so a host of any size spreads over many tasks. Each
    page is paired with the neighbour of its host whose path has the longer common prefix. Neighbours that are
    copies of each other (19 of 20 characters are in equal lines) are one run, and a page's neighbours are the last
    page before its run and the first one after it, as copies can't tell a site's lines from a page's. For the same
    reason a page isn't paired with one that holds nearly all of its lines, or that has nearly nothing else.
-3. The two pages' lines are aligned by longest common subsequence, and shared lines are deleted, but for lines
-   in an article or main element: copies of one article under one host share all of it, and it is main text.
-4. Where a page has an article (or else a main) element, its lines are the text; otherwise all lines left are.
+3. The two pages' lines, hinted ones too, are aligned by longest common subsequence, and shared lines are deleted, but
+   for lines in an article or main element: articles of one host share paragraphs, and those are main text.
+4. Of the lines left, hinted ones go. Where a page has an article (or else a main) element, its lines are the text;
+   a main element with more text outside its articles than in them is taken whole. Otherwise all lines left are.
+Differencing alone, without hints, is there as hints=False; README says how far it gets.
 
 Defined cases: a null or empty html gives an empty text; a url without host is paired with none; a null id is
 carried; repeated rows each give a row (and are copies); a page with no other partner than copies keeps its lines; other columns are ignored; an empty
@@ -62,7 +65,9 @@ AFTER_NAMES = frozenset("left right top bottom primary secondary main area list
 OF_OTHERS = frozenset("comment comments commentlist respond disqus related recommended".split())  # their articles are other people's or pages'
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COPY = 20  # pages are copies if all but a 20th of their characters is in equal lines
-KEEP, DROP, HEAD, NAMED, OTHERS = range(5)  # what an open element does to its text: HEAD drops all but headings; NAMED and OTHERS drop by name
+KEEP, DROP, HEAD, NAMED, OTHERS = range(5)  # what an open element does to its text: DROP hints at it, HEAD at all but headings; NAMED and OTHERS hint by name
+HINTED = -1  # the place of a line that markup hints at; 0, 1 and 2 are elsewhere, a main element, an article
+Line = tuple[str, int]
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -108,9 +113,9 @@ class Named:
         self.others, self.dropped = others, True
 
 
-def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """(text, 2 in an article, 1 in a main element, 0 elsewhere) of each block with text, in page order."""
-    out: list[tuple[tuple[tuple[str, tuple[Named, ...]], ...], int]] = []  # pieces of text with the named ones around
+def page_lines(html: str | None, hints: bool = True) -> list[Line]:
+    """(text, place) of each block with text, in page order; without hints, every place is 0."""
+    out: list[tuple[tuple[tuple[str, bool, tuple[Named, ...]], ...], int]] = []  # pieces of text, whether dropped, and the named ones around
     if not html:
         return []
     top = ("", KEEP, 0, ())
@@ -126,14 +131,13 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     while at < n:
         m = TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
-        if text and mode == KEEP:
-            held.append((unescape(text) if "&" in text else text, around))
+        if text:
+            held.append((unescape(text) if "&" in text else text, mode != KEEP, around))
         if not m:
             break
         at = m.end()
         if m["raw"] is not None:
-            if mode == KEEP:
-                held.append((m["raw"], around))
+            held.append((m["raw"], mode != KEEP, around))
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
@@ -181,13 +185,23 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         stack.append((tag, mode, place, around))
     flush()
 
-    def lines(kept: Callable[[tuple[Named, ...]], bool]) -> list[tuple[str, int]]:
-        made = ((" ".join("".join(t for t, named in pieces if kept(named)).split()), p) for pieces, p in out)
-        return [x for x in made if x[0]]
+    def lines(kept: Callable[[bool, tuple[Named, ...]], bool]) -> list[Line]:
+        made = []
+        for pieces, p in out:
+            for want, where in ((True, p), (False, HINTED)):
+                if text := " ".join("".join(t for t, dropped, named in pieces if kept(dropped, named) == want).split()):
+                    made.append((text, where))
+        return made
 
+    if not hints:
+        return [(t, 0) for t, _ in lines(lambda dropped, named: True)]
     # beside an article of its own, those in a sidebar are teasers
-    own_lines = lines(lambda named: not named)
-    return own_lines if any(p for _, p in own_lines) else lines(lambda named: not any(x.dropped for x in named))
+    own_lines = lines(lambda dropped, named: not dropped and not named)
+    return own_lines if any(p > 0 for _, p in own_lines) else lines(lambda dropped, named: not dropped and not any(x.dropped for x in named))
+
+
+def unhinted(lines: list[Line]) -> list[Line]:
+    return [x for x in lines if x[1] != HINTED]
 
 
 def common(a: list[str], b: list[str], most_bits: int = 1 << 28) -> list[bool]:
@@ -255,32 +269,37 @@ def _prefix(v: int, m: int) -> list[int]:
     return out
 
 
-def overlap(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> tuple[int, int, int]:
+def overlap(a: list[Line], b: list[Line]) -> tuple[int, int, int]:
     """Characters of a, of b, and of lines they have both, in whatever order."""
     x, y = Counter(t for t, _ in a), Counter(t for t, _ in b)
     return sum(len(t) for t, _ in a), sum(len(t) for t, _ in b), sum(len(t) * min(n, y[t]) for t, n in x.items() if t in y)
 
 
-def copies(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
-    """Whether nearly all of both pages is the same."""
+def copies(a: list[Line], b: list[Line]) -> bool:
+    """Whether nearly all of both pages is the same, hinted lines aside."""
     if a == b:
         return True
-    n, m, both = overlap(a, b)
+    n, m, both = overlap(unhinted(a), unhinted(b))
     return COPY * both >= (COPY - 1) * max(n, m)
 
 
-def telling(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
-    """Whether b may be a's partner: neither of them is nearly all in the other."""
-    n, m, both = overlap(a, b)
+def telling(a: list[Line], b: list[Line]) -> bool:
+    """Whether b may be a's partner: neither of them is nearly all in the other, hinted lines aside."""
+    n, m, both = overlap(unhinted(a), unhinted(b))
     return COPY * both < (COPY - 1) * min(n, m)
 
 
-def main_text(lines: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
-    if partner:
-        shared = common([t for t, _ in lines], [t for t, _ in partner])
-        lines = [x for x, s in zip(lines, shared) if not s or x[1]]
-    best = max((p for _, p in lines), default=0)
-    return " ".join(t for t, p in lines if p == best)
+def without_shared(lines: list[Line], partner: list[Line]) -> list[Line]:
+    """The lines that the partner doesn't share, and those in an article or main element."""
+    shared = common([t for t, _ in lines], [t for t, _ in partner])
+    return [x for x, s in zip(lines, shared) if not s or x[1] > 0]
+
+
+def main_text(lines: list[Line], partner: list[Line] | None) -> str:
+    left = unhinted(without_shared(lines, partner) if partner else lines)
+    size = [sum(len(t) for t, p in left if p == place) for place in range(3)]
+    least = 1 if size[1] > size[2] else 2 if size[2] else 0
+    return " ".join(t for t, p in left if p >= least)
 
 
 def prefix_length(a: str, b: str) -> int:
@@ -297,12 +316,12 @@ class Page(NamedTuple):
     path: str
     packed: bytes  # lines
 
-    def lines(self) -> list[tuple[str, int]]:
+    def lines(self) -> list[Line]:
         data = pa.Codec("zstd").decompress(self.packed[8:], int.from_bytes(self.packed[:8], "little"), asbytes=True)
         return [tuple(x) for x in json.loads(data.decode("utf-8", "surrogatepass"))]
 
 
-def packed(lines: list[tuple[str, int]]) -> bytes:
+def packed(lines: list[Line]) -> bytes:
     data = json.dumps(lines, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", 9).compress(data, asbytes=True)
 
@@ -370,16 +389,13 @@ def paired(pages: Iterable[Page], ahead: Side = (None, None), behind: Side = (No
         yield from ((x, before, after) for x in run)
 
 
-def text_of(page: Page, before: Page | None, after: Page | None) -> str:
+def text_of(page: Page, before: Page | None, after: Page | None) -> tuple[str, int, int, int]:
+    """Its main text, and how many lines it has, lost as shared ones, and lost as hinted ones."""
     lines = page.lines()
-    if any(p for _, p in lines):  # an article's lines are never deleted
-        return main_text(lines, None)
     near = [(prefix_length(page.path, x.path), x) for x in (before, after) if x and page.host and x.host == page.host]
-    for _, x in sorted(near, key=lambda x: -x[0]):
-        other = x.lines()
-        if telling(lines, other):
-            return main_text(lines, other)
-    return main_text(lines, None)
+    partner = next((other for _, x in sorted(near, key=lambda x: -x[0]) if telling(lines, other := x.lines())), None)
+    left = without_shared(lines, partner) if partner else lines
+    return main_text(left, None), len(lines), len(lines) - len(left), sum(p == HINTED for _, p in left)
 
 
 def bounds(keys: DataFrame, n: int, each: int = 30) -> list[tuple]:
@@ -391,23 +407,24 @@ def bounds(keys: DataFrame, n: int, each: int = 30) -> list[tuple]:
     return [some[len(some) * k // n] for k in range(1, n)] if len(some) >= n else some
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars (code points) of each page."""
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
+    """id, url, text, n_chars (code points), n_lines, n_shared_lines (deleted by differencing) and n_hinted_lines (deleted
+    by markup after it) of each page. hints: whether markup but for scripts and styles is heeded."""
     spark = pages.sparkSession
     ship(spark)
-    url = F.col(url_col).cast("string")
-    source = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key"), F.col(html_col).cast("string").alias("__html"))
+    url = F.col(f"`{url_col}`").cast("string")
+    source = pages.select(F.col(f"`{id_col}`").alias("__id"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__key"), F.col(f"`{html_col}`").cast("string").alias("__html"))
     order = ["__host", "__path", "__url", "__key"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = bounds(source.select(*order), n)
-    schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_chars", "n_lines", "n_shared_lines", "n_hinted_lines"))])
     arrow = to_arrow_schema(schema)
     parsed = T.StructType([*source.schema.fields[:5], T.StructField("__packed", T.BinaryType()), T.StructField("__part", T.IntegerType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, url, host, path, key, html = (c.to_pylist() for c in batch.columns)
-            lines = pa.array([packed(page_lines(x)) for x in html], pa.binary())
+            lines = pa.array([packed(page_lines(x, hints)) for x in html], pa.binary())
             part = pa.array([bisect_right(cuts, (h, p, u or "", k)) for h, p, u, k in zip(host, path, url, key)], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], lines, part], names=parsed.names)
 
@@ -426,7 +443,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     carried = spark.sparkContext.broadcast(sides({r["part"]: pickle.loads(r["edges"]) for r in found}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = ((x.id, x.url, t, len(t)) for k, own in parts(batches) for x, before, after in paired(own, *carried.value.get(k, ())) for t in [text_of(x, before, after)])
+        made = ((x.id, x.url, t, len(t), *n) for k, own in parts(batches) for x, before, after in paired(own, *carried.value.get(k, ())) for t, *n in [text_of(x, before, after)])
         while held := list(islice(made, 512)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 

@@ -346,3 +346,85 @@ def test_names_do_not_drop_the_main_text():
     # other people's and pages' articles
     assert main('<p>text<div id="comments"><article class="comment">no</article></div>') == "text"
     assert main('<main>text</main><div class="sidebar"><article>no</article></div>') == "text"
+
+
+def test_a_main_element_with_teasers_is_taken_whole():
+    assert main("<main><p>the long text of the page</p><article class='teaser'>more</article></main><p>out") == "the long text of the page more"
+    assert main("<main><p>by x</p><article>the long text of the page</article></main>") == "the long text of the page"
+
+
+def brute_pages(pages):
+    """Texts by the definition, over pages (id, url, own lines, site lines before and after), none with an article."""
+    rows = []
+    for k, u, lines in pages:
+        m = re.match(r"[^:]*://([^/?#]*)([^?#]*)", u)
+        rows.append((m[1].lower(), m[2], u, str(k), k, lines))
+    rows.sort(key=lambda r: r[:4])
+    chars = lambda x: sum(map(len, x))
+
+    def both(a, b):
+        return sum(len(x) * n for x, n in (Counter(a) & Counter(b)).items())
+
+    def shared(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif size[i + 1][j] >= size[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    same = [False] + [x[0] == y[0] and 20 * both(x[5], y[5]) >= 19 * max(chars(x[5]), chars(y[5])) for x, y in zip(rows, rows[1:])] + [False]
+    got = {}
+    for i, (host, path, *_, k, lines) in enumerate(rows):
+        a, b = i, i
+        while same[a]:
+            a -= 1
+        while same[b + 1]:
+            b += 1
+        near = [x for x in (rows[a - 1] if a else None, rows[b + 1] if b + 1 < len(rows) else None) if x and x[0] == host]
+        near.sort(key=lambda x: -htmldiff.prefix_length(path, x[1]))
+        other = next((x[5] for x in near if 20 * both(lines, x[5]) < 19 * min(chars(lines), chars(x[5]))), [])
+        gone = shared(lines, other)
+        got[k] = " ".join(x for j, x in enumerate(lines) if j not in gone)
+    return got
+
+
+@pytest.mark.parametrize("partitions", ["1", "6", "64"])
+def test_pairing_and_differencing_equal_brute_force(spark, partitions):
+    r = random.Random(11)
+    pages = []
+    for i in range(120):
+        host = f"h{r.randrange(8)}.com"
+        top, end = [f"{host} top {j}" for j in range(3)], [f"{host} end {j}" for j in range(2)]
+        own = [f"own {i} {j} " + "text " * r.randrange(9) for j in range(r.randrange(1, 5))]
+        if r.random() < 0.3 and pages:
+            own = [x for x in r.choice(pages)[2] if x.startswith("own")]  # a copy's lines
+        if r.random() < 0.3:
+            own.insert(0, f"{host} news of the day")
+        pages.append((i, f"http://{host}/{r.choice(['a', 'a/b', 'c'])}/{r.randrange(20)}{r.choice(['', '?q', '#t'])}", [" ".join(x.split()) for x in top[: r.randrange(4)] + own + end]))
+    html = [(k, u, "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>"]).format(x) for x in lines)) for k, u, lines in pages]
+    assert extracted(spark, html, partitions) == brute_pages(pages)
+
+
+def test_differencing_counts_what_it_deletes(spark):
+    shell = "<nav><li>Home</li><li>About {0}</li></nav><article><p>Text {0}</p><p>Shared words</p></article><footer>Terms</footer><script>x</script>"
+    pages = spark.createDataFrame([(i, f"http://a.com/{i}", shell.format(i)) for i in range(3)], "page_id long, url string, html string")
+    rows = htmldiff.extract(pages).collect()
+    # Home and Terms are shared, About is only hinted at, and an article keeps what it shares
+    assert {(r["page_id"], r["text"], r["n_lines"], r["n_shared_lines"], r["n_hinted_lines"]) for r in rows} == {(i, f"Text {i} Shared words", 5, 2, 1) for i in range(3)}
+    assert {(r["page_id"], r["text"]) for r in htmldiff.extract(pages, hints=False).collect()} == {(i, f"About {i} Text {i}") for i in range(3)}
+
+
+def test_very_long_and_odd_pages(spark):
+    pages = [(1, "http://a.com/1", "<p>" + "word " * 200_000 + "</p>"), (2, "http://a.com/2", "<p>x</p>" * 20_000), (3, "http://a.com/3", "<div>" * 3000 + "deep"), (4, "http://b.com", ""), (None, "http://b.com/1", None), (5, "", "<p>no url")]
+    got = extracted(spark, pages)
+    assert len(got[1]) == 5 * 200_000 - 1 and got[2] == " ".join("x" * 20_000) and (got[3], got[4], got[None], got[5]) == ("deep", "", "", "no url")
