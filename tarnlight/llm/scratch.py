@@ -18,14 +18,17 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execu
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is `spark.checkpoint.dir` of the session. Only where that is unset (a local session, as in
-    tests) a temporary folder is made and set as the checkpoint folder of this application.
+    It is `spark.checkpoint.dir` of the session. Only where that is unset in a local session, as in
+    tests, a temporary folder is made and set as the checkpoint folder of this application; elsewhere
+    executors would write where the driver can't read, so that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(sc, "_tarnlight_scratch", None)
         if not base:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = sc._tarnlight_scratch = tempfile.mkdtemp(prefix="tarnlight-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -37,7 +40,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tarnlight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tarnlight_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, where nothing that is still to run reads it."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._tarnlight_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drop_at_end(spark: SparkSession, path: str) -> None:
@@ -47,10 +59,12 @@ def drop_at_end(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once for each application, and bound their batches."""
-    for name, value in ARROW.items():
-        spark.conf.set(name, value)
+    """Make this package importable in the Python workers, once for each application, and bound their batches, unless
+    the application was started with settings of its own for those."""
     sc = spark.sparkContext
+    for name, value in ARROW.items():
+        if not sc.getConf().contains(name):
+            spark.conf.set(name, value)
     if getattr(sc, "_tarnlight_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
