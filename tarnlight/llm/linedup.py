@@ -8,7 +8,7 @@ more, of `least_words` words together, or a line of `long_words`. So a single sh
 
 1. Hashes of all chunks with text are counted; partial counts are combined before the shuffle.
 2. Chunks whose hash occurs twice are grouped by their bytes, so a hash collision removes nothing. Groups are combined
-   before the shuffle, and the joins on hashes have plain shuffles on both sides, so the engine splits hot chunks.
+   before the shuffle, and in the joins chunks that very many texts share are salted.
 3. Each document's repeated chunks are grouped into runs, by one shuffle of places.
 4. The chunks to remove are joined to the documents by id and text hash; a document gathers its own places only.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Salts, materialise
+
 FILLED = r"[^\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 LONG_WORDS, LEAST_WORDS = 50, 25
@@ -61,14 +63,15 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, long_words: int
     # the outer form, as the other has a filter on the array's size put together from all the steps above
     chunks = chunks.select("__l_id", "__l_th", F.explode_outer("__l_chunks").alias("c")).where(F.col("c.text").rlike(FILLED))
     chunks = chunks.select("__l_id", "__l_th", F.col("c.k").alias("k"), F.col("c.text").alias("text"), F.xxhash64("c.text").alias("h"))
-    often = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    repeated = chunks.join(often, "h", "left_semi")
+    often = materialise(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    salts = Salts(often, "h")
+    repeated = salts.left(chunks, ["__l_id", "__l_th", "k"]).join(salts.right(often.select("h")), ["h", "__salt"], "left_semi")
     place = F.struct("__l_id", "__l_th", "k")
-    first = repeated.groupBy("text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = repeated.groupBy("text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("h").alias("h")).where("n > 1")
     lines = F.split("text", "\n")
-    first = first.select(F.sha2("text", 256).alias("d"), "first", F.size(F.filter(lines, lambda x: x.rlike(FILLED))).alias("lines"), F.regexp_count("text", F.lit(WORD)).alias("words"), F.exists(lines, lambda x: is_long(x, long_words)).alias("long"))
+    first = first.select("h", F.sha2("text", 256).alias("d"), "first", F.size(F.filter(lines, lambda x: x.rlike(FILLED))).alias("lines"), F.regexp_count("text", F.lit(WORD)).alias("words"), F.exists(lines, lambda x: is_long(x, long_words)).alias("long"))
     # the bytes were compared above; a digest finds a chunk's group again without sending the text once more
-    found = repeated.select("__l_id", "__l_th", "k", F.sha2("text", 256).alias("d")).join(first, "d").where(~place.eqNullSafe(F.col("first")))
+    found = repeated.select("h", "__salt", "__l_id", "__l_th", "k", F.sha2("text", 256).alias("d")).join(salts.right(first), ["h", "__salt", "d"]).where(~place.eqNullSafe(F.col("first")))
     found = found.groupBy("__l_id", "__l_th").agg(F.sort_array(F.collect_set(F.struct("k", "lines", "words", "long"))).alias("all"))
     found = found.select("__l_id", "__l_th", F.posexplode_outer("all").alias("i", "c")).withColumn("run", F.col("c.k") - F.col("i"))
     runs = found.groupBy("__l_id", "__l_th", "run").agg(F.sum("c.lines").alias("lines"), F.sum("c.words").alias("words"), F.max("c.long").alias("long"), F.collect_list("c.k").alias("ks"))

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A Python worker holds few texts at a time: up to 512, of 16 MB together, or one longer text.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
@@ -85,3 +86,24 @@ def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
     """A table of up to `most` bytes dealt over all cores, as one small file is one task; a larger one as it is."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
+class Salts:
+    """Joins on a key of which some values hold very many rows: those get one of `salts` salts on the left side, and the
+    right side's row for each of them. counts: (key, n), written already. A value is hot with more than one in `share` of
+    the counted rows, so there are fewer than `share` hot values, and those alone are broadcast."""
+
+    def __init__(self, counts: DataFrame, key: str, share: int = 1000, salts: int = 64):
+        total = counts.agg(F.sum("n")).scalar()
+        self.key, self.salts = key, salts
+        self.hot = F.broadcast(counts.where(F.col("n") * share > total).select(key, F.lit(True).alias("__hot")))
+
+    def left(self, df: DataFrame, place: list[str | Column]) -> DataFrame:
+        """df with __salt; place: what tells the rows of one value apart."""
+        salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*place), F.lit(self.salts))).otherwise(0).cast("int")
+        return df.join(self.hot, self.key, "left").withColumn("__salt", salt).drop("__hot")
+
+    def right(self, df: DataFrame) -> DataFrame:
+        """df (one row for a value, or few) with __salt, a hot value's rows once for each."""
+        each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))
+        return df.join(self.hot, self.key, "left").withColumn("__salt", F.explode_outer(each)).drop("__hot")

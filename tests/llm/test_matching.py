@@ -231,3 +231,19 @@ def test_benchmark_blocks_are_bounded_by_bytes(spark):
     got = decontam.decontaminate(spark.createDataFrame(docs, SCHEMA).withColumn("hits", F.lit(1)).withColumn("n_words", F.lit(2)), source, carry=["doc_id", "hits", "n_words"], block_bytes=2000)
     assert sorted(map(tuple, decontam.digest(got).collect()), key=str) == brute_hits(docs, items)
     assert got.select("hits", "n_words").distinct().count() == 1
+
+
+def test_salted_joins_lose_and_double_nothing(spark):
+    from tarnlight.llm.scratch import Salts
+
+    rows = [("hot", i) for i in range(300)] + [(f"k{i % 50}", i) for i in range(200)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    counts = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    values = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c"), ("k7", "d"), ("none", "e")], "k string, v string")
+    for share in (1, 3, 1000):
+        salts = Salts(counts, "k", share=share, salts=5)
+        left = salts.left(df, ["i"])
+        assert left.where("k = 'hot'").select("__salt").distinct().count() == (1 if share == 1 else 5)
+        got = left.join(salts.right(values), ["k", "__salt"]).select("k", "i", "v").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, df.join(values, "k").select("k", "i", "v").collect()))
+        assert left.join(salts.right(values), ["k", "__salt"], "left_semi").count() == 308
