@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Only DataFrame operations; each round is written to the shared folder, which cuts the lineage. What reaches
-the driver in a round is one count and one checksum, and a round's tables are deleted when the next is written. The minima are combined before any shuffle, and the one
-join of a round can be split by the engine where a node has very many edges.
+the driver in a round is one count and one checksum, and a round's tables are deleted when the next is written. The minima are combined before any shuffle, and in the
+large-star's join the nodes with very many edges are salted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, materialise
+from .scratch import Salts, discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,9 +24,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written first: the join's two sides are then plain shuffles, whose hot nodes the engine splits
-        lowest = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "lowest")
+        salts = Salts(lowest, "u")
+        large = salts.left(both.where("v > u"), ["v"]).join(salts.right(lowest.select("u", "m")), ["u", "__salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         read, now, before = (now, lowest), materialise(small, "edges"), state
