@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialise
+from .scratch import Salts, materialise
 
 INLINE = 64
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -127,15 +127,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, redirects: DataFrame | Non
     if same is not None:
         # the value is a node beside the urls, so that its pages are a star; a url's node holds a slash, this doesn't
         pairs = materialise(pages.select(url.alias("url"), node_of(url).alias("u"), F.concat(F.lit("same:"), F.sha2(same.cast("string"), 256)).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"), "same")
-        often = pairs.groupBy("v").agg((F.min("u") < F.max("u")).alias("often")).where("often").select("v")
-        pairs = pairs.join(often, "v", "left_semi")
+        counts = materialise(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), (F.min("u") < F.max("u")).alias("often")), "counts")
+        salts = Salts(counts, "v")
+        pairs = salts.left(pairs, ["u"]).join(salts.right(counts.where("often").select("v")), ["v", "__salt"], "left_semi")
         forms, edges = [*forms, pairs.select("url")], [*edges, pairs.select("u", "v")]
     if edges:
         groups = connected_components(reduce(DataFrame.unionByName, edges))
         urls = reduce(DataFrame.unionByName, forms).select(node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("node IS NOT NULL").distinct()
         parts = ruled(urls, rules).where("ruling IS NOT NULL").join(groups, "node")
         spread = parts.groupBy("component").agg((F.max(F.col("ruling") == "block") & ~F.max(F.col("ruling") == "allow")).alias("spread"))
-        blocked = groups.join(spread.where("spread"), "component").select("node", F.lit("block").alias("alias"))
+        sizes = materialise(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        salts = Salts(sizes, "component")
+        blocked = salts.left(groups, ["node"]).join(salts.right(spread.where("spread")), ["component", "__salt"]).select("node", F.lit("block").alias("alias"))
         judged = judged.join(blocked, "node", "left")
     else:
         judged = judged.withColumn("alias", F.lit(None).cast("string"))
