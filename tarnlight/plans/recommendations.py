@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from ..operators.quality import QualityReport
-from ..operators.shape import Transform, TransformReport, attempt_text
+from ..operators.shape import Transform, TransformReport, verdict_text
 
 #: The steps in their order, and the limits of their rules.
 STEPS = {"convert": "Convert", "drop": "Drop", "impute": "Fill gaps", "encode": "Encode", "transform": "Transform", "scale": "Scale"}
@@ -110,49 +111,54 @@ def _change(t: Transform) -> str:
     return f"skew {t.skew_before:.2f} to {t.skew_after:.2f}, QQ r {t.qq_before:.3f} to {t.qq_after:.3f}"
 
 
+#: method -> (advice for a feature, name in the advice for a target, what turns predictions back)
+ADVICE = {"log1p": ("log1p", "log1p", "expm1"), "yeo_johnson": ("Yeo-Johnson, with lambda from the training rows", "the Yeo-Johnson transform", "its inverse")}
+
+
 def transforms(report: TransformReport | None, skip: set[str], target: str | None) -> list[Recommendation]:
-    if report is None:
-        return []
-    fixed = [t for c, t in report.columns.items() if t.method and c not in skip and c != target]
-    out = []
-    if fixed:
-        out.append(Recommendation("transform", None, "Transform these columns for linear or distance-based models; trees need none", f"{len(fixed)} continuous columns have a long tail that a transform straightens"))
-    for t in fixed:
-        if t.method == "log1p":
-            out.append(Recommendation("transform", t.column, "log1p", _change(t)))
-        else:
-            out.append(Recommendation("transform", t.column, "Yeo-Johnson, fitted on training rows", f"{_change(t)}; lambda {t.lmbda:.2f}; {attempt_text(t, 'log1p')}"))
-    t = report.target
-    if t and t.method and t.column not in skip:
-        back = "expm1" if t.method == "log1p" else "its inverse"
-        out.append(Recommendation("transform", t.column, f"Model {'log1p' if t.method == 'log1p' else 'the Yeo-Johnson transform'} of the target and turn predictions back with {back}", _change(t)))
+    helped = [] if report is None else [t for t in report.columns.values() if t.method and t.column not in skip | {target}]
+    out = [Recommendation("transform", t.column, ADVICE[t.method][0], "; ".join([_change(t), *([f"lambda {t.lmbda:.2f}", verdict_text(t, "log1p")] if t.method == "yeo_johnson" else [])])) for t in helped]
+    if out:
+        out.insert(0, Recommendation("transform", None, "Straighten long tails for linear or distance-based models; trees need none", f"columns that a transform helps: {len(out)}"))
+    aim = report.target if report else None
+    if aim and aim.method and aim.column not in skip:
+        _, name, back = ADVICE[aim.method]
+        out.append(Recommendation("transform", aim.column, f"Train on {name} of the target; {back} gives predictions in its own units", _change(aim)))
     return out
 
 
+@dataclass(frozen=True)
+class Spread:
+    """What scaling a column depends on."""
+
+    std: float
+    iqr: float
+    log: bool
+    after: Transform | None
+
+
+#: The first rule that applies: (whether it does, action, evidence).
+SCALING: list[tuple[Callable[[Spread], bool], str, Callable[[Spread], str]]] = [
+    (lambda s: s.after is not None, "Standard scaling after the transform", lambda s: f"its skew is {s.after.skew_after:.2f} then"),
+    (lambda s: s.log, "log10, then standard scaling", lambda s: "its tail fills a linear axis"),
+    (lambda s: s.iqr <= 0, "Standard scaling", lambda s: "the middle half of its values is one value (IQR = 0)"),
+    (lambda s: s.std > ROBUST_RATIO * s.iqr, "Robust scaling (median and IQR)", lambda s: f"its deviation is {show(s.std / s.iqr)} times its IQR"),
+    (lambda s: True, "Standard scaling", lambda s: f"deviation ({show(s.std)}) and IQR ({show(s.iqr)}) agree"),
+]
+
+
 def scalings(types: dict[str, str], numeric: dict[str, dict], log: set[str], skip: set[str], target: str | None, transformed: dict[str, Transform]) -> list[Recommendation]:
-    usable = [c for c, k in types.items() if "numeric" in k and c in numeric and c not in skip and c != target]
-    spread = {c: numeric[c]["std"] for c in usable if numeric[c]["std"]}
-    if len(spread) < 2:
+    usable = {c: Spread(numeric[c]["std"] or 0.0, numeric[c]["iqr"] or 0.0, c in log, transformed.get(c)) for c, k in types.items() if "numeric" in k and c in numeric and c not in skip | {target}}
+    by_size = sorted((c for c in usable if usable[c].std), key=lambda c: usable[c].std)
+    if len(by_size) < 2:
         return []
-    wide, narrow = max(spread, key=lambda c: spread[c]), min(spread, key=lambda c: spread[c])
-    ratio = spread[wide] / spread[narrow]
+    narrow, wide = by_size[0], by_size[-1]
+    ratio = usable[wide].std / usable[narrow].std
     if ratio < STD_RATIO:
-        return [Recommendation("scale", None, "No scaling needed", f"{wide} spreads only {ratio:.1f} times as wide as {narrow}")]
-    out = [Recommendation("scale", None, "Scale for models that feel it (penalties, distances, nets); trees need none", f"{wide} spreads {show(ratio)} times as wide as {narrow}")]
-    for c in usable:
-        s = numeric[c]
-        std, iqr = s["std"] or 0.0, s["iqr"] or 0.0
-        if c in transformed:
-            out.append(Recommendation("scale", c, "Standard scaling after the transform", f"its skew is {transformed[c].skew_after:.2f} then"))
-        elif c in log:
-            out.append(Recommendation("scale", c, "log10, then standard scaling", "its tail fills a linear axis"))
-        elif iqr <= 0:
-            out.append(Recommendation("scale", c, "Standard scaling", "half of its values are one (IQR = 0)"))
-        elif std / iqr > ROBUST_RATIO:
-            out.append(Recommendation("scale", c, "Robust scaling (median and IQR)", f"its deviation is {show(std / iqr)} times its IQR"))
-        else:
-            out.append(Recommendation("scale", c, "Standard scaling", f"deviation ({show(std)}) and IQR ({show(iqr)}) agree"))
-    return out
+        return [Recommendation("scale", None, "No scaling needed", f"the widest, {wide}, spreads {ratio:.1f} times as far as the narrowest, {narrow}")]
+    first = Recommendation("scale", None, "Scale for penalties, distances and nets; trees need none", f"{wide} spreads {show(ratio)} times as far as {narrow}")
+    rules = ((c, s, next(r for r in SCALING if r[0](s))) for c, s in usable.items())
+    return [first, *(Recommendation("scale", c, action, evidence(s)) for c, s, (_, action, evidence) in rules)]
 
 
 def build(types: dict[str, str], q: QualityReport, *, numeric: dict[str, dict], correlations: dict[tuple[str, str], float], modes: dict[str, tuple[str, float]], categories: dict[str, tuple[int, int, int]], present: dict[str, int], log: set[str] = frozenset(), transform_report: TransformReport | None = None, target: str | None = None) -> list[Recommendation]:

@@ -265,3 +265,40 @@ def test_chart_tables(spark):
     assert {r["category"] for r in charts.bars(df, "c", 3).collect()} == {"0", "1", "10", "Other"}
     assert charts.scatter(df, "x", "x", 10).count() == 10 and charts.missing_mask(df, 50).count() == 50 and charts.missing_mask(df.select("c"), 50).count() == 0
     assert charts.choose_columns(list("abcd"), 2, "d", {"a": 0.1, "b": 0.9})[0] == ["b", "d"]
+
+
+def test_collinearity_of_several_relations(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    a, b, c, d = (rng.normal(i, 1 + i, n).round(2) for i in range(4))
+    df = frame(spark, a=a, b=b, sum=a + b, c=c, twice=2 * c + 1, d=d, far=3 * (a + b) - d, near=d + rng.normal(0, 0.2, n))
+    r = collinearity.analyze_collinearity(df, dict.fromkeys(df.columns, "numeric_continuous"))
+    assert len(r.exact) == 3 and all(x.rows == x.rows_checked == n for x in r.exact)
+    written = [x.column for x in r.exact]
+    assert all(t not in written for x in r.exact for t, _ in x.terms)  # by independent columns only
+    assert "twice = 2*c + 1" in [x.equation for x in r.exact]
+    # VIF and drops by their definition, on the independent columns
+    left = [x for x in df.columns if x not in written]
+    m = df.toPandas()
+
+    def vif(columns):
+        return dict(zip(columns, np.diag(np.linalg.inv(np.corrcoef(m[columns].T)))))
+
+    exact_parts = {t for x in r.exact for t in [x.column, *(t for t, _ in x.terms)]}
+    for k, v in vif(left).items():
+        assert r.vif[k] == (math.inf if k in exact_parts else pytest.approx(v))
+    dropped = []
+    while len(left) > 1 and max(vif(left).values()) >= 10:
+        worst = max(left, key=lambda k: (vif(left)[k], left.index(k)))
+        dropped.append((worst, pytest.approx(vif(left)[worst])))
+        left.remove(worst)
+    assert [(x.column, x.vif) for x in r.drops[3:]] == dropped and dropped
+    assert r.vif_after == {k: pytest.approx(v) for k, v in vif(left).items()}
+
+
+def test_transform_outcomes():
+    t = shape.Transform("x", 100, 3.0, 0.9, log1p_skew=0.4, log1p_qq=0.9049, yeo_johnson_skew=0.1, yeo_johnson_qq=0.99)
+    assert shape.outcome(t, "log1p") is shape.Outcome.CROOKED and shape.outcome(t, "yeo_johnson") is shape.Outcome.WORKS
+    t.log1p_skew, t.yeo_johnson_skew = None, 0.5
+    assert shape.outcome(t, "log1p") is shape.Outcome.IMPOSSIBLE and shape.outcome(t, "yeo_johnson") is shape.Outcome.SKEWED
+    assert "can't" in shape.verdict_text(t, "log1p") and "0.50" in shape.verdict_text(t, "yeo_johnson")
