@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .columns import number
 
-DIRECT_BYTES = 2 << 30
+DIRECT_BYTES = 32 << 20  # what one task may hold as a map or sort alone
 INSIDE = 200_000
 ACCURACY = 10_000
 

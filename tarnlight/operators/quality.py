@@ -71,28 +71,34 @@ def duplicate_counts(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return groups.agg(zero(F.sum(F.col("n") - 1)).alias("n_duplicates"), zero(F.sum("n")).alias("n_member_rows"), F.count(F.lit(1)).alias("n_groups"))
 
 
-MAJORITY = 0.6
+MAJORITY = 0.6  # a value with this share of a column's values is its median in any order
 
 
 def constants(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.99) -> DataFrame:
-    """column, constant, quasi_constant, top_share: the share over all rows of a value with at least 60% of the values,
-    else null. A null counts as a value of its own for `constant`, and never as the top value.
+    """column, constant, quasi_constant, top_share: the share over all rows of the most frequent value, null without
+    values. A null counts as a value of its own for `constant`, and never as the top value.
 
     A value that fills more than half of a column is its median in any order, also in that of its hashes. So one pass
-    of sketches finds the only candidate of each column, and a second one counts it: no value is shuffled.
+    of sketches finds the only candidate of each column, and a second one counts it. Only the other columns' values
+    are counted by a shuffle, as 128-bit keys, with partial counts before it.
     """
     columns = columns or df.columns
+    text = [col(c).cast("string") for c in columns]
     # 52 bits of a hash, as the sketch holds doubles
-    keys = df.select(*(F.when(col(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(col(c).cast("string")), 12)).alias(f"k{i}") for i, c in enumerate(columns)))
+    keys = df.select(*(F.when(x.isNotNull(), F.shiftrightunsigned(F.xxhash64(x), 12)).alias(f"k{i}") for i, x in enumerate(text)))
     first = keys.agg(*(f.alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("m", F.percentile_approx(f"k{i}", F.lit(0.5), 10_000)), ("lo", F.min(f"k{i}")), ("hi", F.max(f"k{i}"))))).first()
-    aggs = [F.count(F.lit(1)).alias("rows")] + [f.alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count(f"k{i}")), ("t", F.count_if(F.col(f"k{i}") == F.lit(first[f"m{i}"]).cast("long"))))]
-    rows = []
+    got = keys.agg(F.count(F.lit(1)).alias("rows"), *(f.alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count(f"k{i}")), ("t", F.count_if(F.col(f"k{i}") == F.lit(first[f"m{i}"]).cast("long")))))).first()
+    top = {i: got[f"t{i}"] for i in range(len(columns)) if got[f"n{i}"] and got[f"t{i}"] >= MAJORITY * got[f"n{i}"]}
+    if rest := [i for i in range(len(columns)) if got[f"n{i}"] and i not in top]:
+        cells = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64(text[i]).alias("a"), F.xxhash64(text[i], F.lit(1)).alias("b"), text[i].isNotNull().alias("there")) for i in rest)))).where("there")
+        counts = cells.groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        top |= {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.max("n").alias("n")).collect()}
+    out = []
     for i, c in enumerate(columns):
-        n, top = F.col(f"n{i}"), F.col(f"t{i}")
-        constant = (n == 0) | (F.lit(first[f"lo{i}"] == first[f"hi{i}"]) & (n == F.col("rows")))
-        share = F.when((n > 0) & (top >= MAJORITY * n), ratio(top, F.col("rows")))
-        rows.append({"column": F.lit(c), "constant": constant, "quasi_constant": ~constant & F.coalesce(share > threshold, F.lit(False)), "top_share": share})
-    return stacked(keys.agg(*aggs), rows)
+        n, share = got[f"n{i}"], top[i] / got["rows"] if i in top else None
+        constant = n == 0 or first[f"lo{i}"] == first[f"hi{i}"] and n == got["rows"]
+        out.append((c, constant, not constant and share is not None and share > threshold, share))
+    return df.sparkSession.createDataFrame(out, "column string, constant boolean, quasi_constant boolean, top_share double")
 
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -9,32 +10,51 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, number, ratio, stacked
 from ..functions.distributions import chi2_tail, correlation_p
-from ..functions.quantiles import running
+from ..functions.quantiles import _wide, running
 
 #: Weakest association shown; rows of a pair; columns of a matrix.
 FLOOR, LEAST_ROWS, MOST_COLUMNS = 0.05, 3, 30
-PER_PASS = 60  # pairs in one aggregate, to keep generated code small
-
-
-def _both(x: Column, y: Column) -> tuple[Column, Column]:
-    ok = x.isNotNull() & y.isNotNull()
-    return F.when(ok, x), F.when(ok, y)
+PER_PASS = 150  # sums in one aggregate, to keep generated code small
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """var1, var2, n, r: r is null under 3 rows or where a column is constant on the pair's rows."""
-    out = None
-    for k in range(0, len(pairs), PER_PASS):
-        part = pairs[k : k + PER_PASS]
-        aggs, rows = [], []
-        for i, (a, b) in enumerate(part):
-            x, y = _both(number(a), number(b))
-            aggs += [F.count(x).alias(f"n_{i}"), F.covar_pop(x, y).alias(f"c_{i}"), F.stddev_pop(x).alias(f"x_{i}"), F.stddev_pop(y).alias(f"y_{i}")]
-            r = ratio(F.col(f"c_{i}"), F.col(f"x_{i}") * F.col(f"y_{i}"))
-            rows.append({"var1": F.lit(a), "var2": F.lit(b), "n": F.col(f"n_{i}"), "r": F.when((F.col(f"n_{i}") >= LEAST_ROWS) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))})
-        got = stacked(df.agg(*aggs), rows)
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, r double")
+    """var1, var2, n, r: r is null under 3 rows or where a column is constant on the pair's rows.
+
+    A first pass gives each column's mean, extremes and number of values; a second one sums what is left of them. A pair of
+    columns without nulls adds one sum of products of its own; what else it needs is shared by all pairs of a column.
+    """
+    spark = df.sparkSession
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    if not names:
+        return spark.createDataFrame([], "var1 string, var2 string, n long, r double")
+    got = _wide(df, [F.count(F.lit(1)), *(f(number(c).cast("double")) for c in names for f in (F.count, F.avg, F.min, F.max))])
+    rows, known = got[0], {c: got[1 + 4 * i : 5 + 4 * i] for i, c in enumerate(names)}
+    off = {c: number(c).cast("double") - F.lit(float(known[c][1] or 0.0)) for c in names}
+    full = [c for c in names if known[c][0] == rows]
+    sums: dict[tuple[str, ...], list[Column]] = {(c,): [F.sum(off[c]), F.sum(off[c] * off[c])] for c in full}
+    for a, b in pairs:
+        if a in full and b in full:
+            sums[a, b] = [F.sum(off[a] * off[b])]
+        else:
+            both = off[a].isNotNull() & off[b].isNotNull()
+            x, y = F.when(both, off[a]), F.when(both, off[b])
+            sums[a, b] = [F.count(x), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y), F.min(x), F.max(x), F.min(y), F.max(y)]
+    values = iter(_wide(df, [f for fs in sums.values() for f in fs], PER_PASS))
+    found = {k: [next(values) for _ in fs] for k, fs in sums.items()}
+    out = []
+    for a, b in pairs:
+        if a in full and b in full:
+            (x, xx), (y, yy), (xy,) = found[a,], found[b,], found[a, b]
+            n, flat = rows, known[a][2] == known[a][3] or known[b][2] == known[b][3]
+        else:
+            n, x, y, xx, yy, xy, lo, hi, low, high = found[a, b]
+            flat = lo == hi or low == high
+        r = None
+        if n >= LEAST_ROWS and not flat:
+            spread = (xx - x * x / n) * (yy - y * y / n)
+            r = max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(spread))) if spread > 0 else None
+        out.append((a, b, n, r))
+    return spark.createDataFrame(out, "var1 string, var2 string, n long, r double")
 
 
 def numeric_correlations(df: DataFrame, columns: list[str], floor: float = FLOOR) -> DataFrame:

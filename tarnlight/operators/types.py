@@ -148,10 +148,22 @@ def _counters(df: DataFrame, names: list[str], order: str | None) -> set[str]:
             return set()
         seen = df.agg(*(f for c in dense for f in (F.count(col(c)), F.count_distinct(col(c))))).first()
         return {c for i, c in enumerate(dense) if seen[2 * i] == seen[2 * i + 1]}
-    w = Window.orderBy(order)
-    steps = df.select(*((col(c) - F.lag(col(c)).over(w)).alias(f"s{i}") for i, c in enumerate(names)))
-    row = steps.agg(*(f.alias(f"{k}_{i}") for i in range(len(names)) for k, f in (("n", F.count(f"s{i}")), ("one", F.count_if(F.col(f"s{i}") == 1))))).first()
-    return {c for i, c in enumerate(names) if row[f"n_{i}"] and row[f"one_{i}"] / row[f"n_{i}"] >= SEQUENCE}
+    # windows run inside cuts of the order, side by side; the steps from cut to cut come from their first and last rows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = df.select(col(order).alias("__o"), *(col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    cuts = some.agg(F.percentile_approx(F.col("__o").cast("double"), [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    splits = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    some = some.withColumn("__cut", F.size(F.filter(splits, lambda s: s < F.col("__o"))))
+    w = Window.partitionBy("__cut").orderBy("__o")
+    steps = some.select("__cut", "__o", *(f"c{i}" for i in range(len(names))), *((F.col(f"c{i}") - F.lag(f"c{i}").over(w)).alias(f"s{i}") for i in range(len(names))))
+    each = steps.groupBy("__cut").agg(*(f.alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count(f"s{i}")), ("one", F.count_if(F.col(f"s{i}") == 1)), ("from", F.min_by(f"c{i}", "__o")), ("to", F.max_by(f"c{i}", "__o"))))).orderBy("__cut").collect()  # one row for each cut
+    found = set()
+    for i, c in enumerate(names):
+        between = [b[f"from{i}"] - a[f"to{i}"] for a, b in zip(each, each[1:]) if b[f"from{i}"] is not None and a[f"to{i}"] is not None]
+        n, one = sum(r[f"n{i}"] for r in each) + len(between), sum(r[f"one{i}"] for r in each) + between.count(1)
+        if n and one / n >= SEQUENCE:
+            found.add(c)
+    return found
 
 
 def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, *, discrete: int = DISCRETE, codes: int = CODES, order: str | None = None) -> dict[str, str]:

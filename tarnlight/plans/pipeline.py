@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.quantiles import spread
+from ..functions.quantiles import small, spread
 from ..operators import charts as chart_data
 from ..operators import collinearity, outliers, quality, relationships, shape, target, univariate
 from ..operators.types import apply_overrides, infer_types
@@ -29,6 +29,7 @@ from .config import Config
 from .recommendations import Recommendation, build
 
 log = logging.getLogger(__name__)
+KEPT_BYTES = 1 << 30
 
 
 @dataclass
@@ -190,7 +191,10 @@ def analyze(df: DataFrame, config: Config | None = None, *, charts: bool = True,
         near = difflib.get_close_matches(wanted, df.columns)
         raise ValueError(f"no column {wanted!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
     t = wanted if wanted in df.columns else None
-    df = spread(df).persist()
+    df = spread(df)
+    kept = small(df, KEPT_BYTES)  # a larger table is read again from its files, not held
+    if kept:
+        df.persist()
     try:
         a.rows = df.count()
 
@@ -223,7 +227,8 @@ def analyze(df: DataFrame, config: Config | None = None, *, charts: bool = True,
             step("visualizations", lambda: _charts(df, a, c))
         a.preview = [{k: None if v is None else str(v)[:200] for k, v in r.asDict().items()} for r in df.limit(10).collect()]
     finally:
-        df.unpersist()
+        if kept:
+            df.unpersist()
     return a
 
 

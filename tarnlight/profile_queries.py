@@ -6,7 +6,7 @@ The tables have no nulls and no repeated rows, so some queries make them with nu
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +106,7 @@ def _parts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_brand AS brand", "CASE WHEN p_retailprice > 999.5 THEN 'b' ELSE 'a' END AS nearly", "'x' AS one", "CAST(NULL AS STRING) AS nothing", "CASE WHEN p_size > 1 THEN NULL ELSE 'y' END AS rare")
 
 
-@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) <= 1 AS constant, count(*) > 1 AND coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n) > 0.99 AS quasi_constant, CASE WHEN max(n) FILTER (WHERE v IS NOT NULL) >= 0.6 * sum(n) FILTER (WHERE v IS NOT NULL) THEN round(max(n) FILTER (WHERE v IS NOT NULL) / sum(n), 6) END AS top_share FROM (SELECT {c} AS v, count(*) AS n FROM {PARTS} GROUP BY 1)""" for c in ("brand", "nearly", "one", "nothing", "rare")))
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) <= 1 AS constant, count(*) > 1 AND coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) / sum(n) > 0.99 AS quasi_constant, round(max(n) FILTER (WHERE v IS NOT NULL) / sum(n), 6) AS top_share FROM (SELECT {c} AS v, count(*) AS n FROM {PARTS} GROUP BY 1)""" for c in ("brand", "nearly", "one", "nothing", "rare")))
 def constants_quasi(spark, sf_dir):
     return rounded(quality.constants(_parts(spark, sf_dir)))
 
@@ -201,16 +201,19 @@ def hour_counts(spark, sf_dir):
     return univariate.hour_counts(table(spark, sf_dir, "events"), "ts")
 
 
-@query("SELECT CAST(h AS INT) AS hour, count(t) AS n FROM generate_series(0, 23) g(h) LEFT JOIN (SELECT hour(ts) AS t FROM events WHERE user_id <= 100) ON t = h GROUP BY h")
+#: Times in the last minute of an hour are made malformed, which a time of day must not count.
+def _clocks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.expr("CASE WHEN minute(ts) = 59 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
+
+
+@query("SELECT CAST(h AS INT) AS hour, count(t) AS n FROM generate_series(0, 23) g(h) LEFT JOIN (SELECT hour(ts) AS t FROM events WHERE minute(ts) <> 59) ON t = h GROUP BY h")
 def time_of_day_hours(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN user_id > 100 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
-    return univariate.hour_counts(df, "t")
+    return univariate.hour_counts(_clocks(spark, sf_dir), "t")
 
 
-@query("SELECT count(*) FILTER (WHERE user_id <= 100) AS count, strftime(min(ts::TIME) FILTER (WHERE user_id <= 100) + DATE '2000-01-01', '%H:%M:%S') AS earliest, strftime(max(ts::TIME) FILTER (WHERE user_id <= 100) + DATE '2000-01-01', '%H:%M:%S') AS latest FROM events")
+@query("SELECT count(*) FILTER (WHERE minute(ts) <> 59) AS count, strftime(min(ts::TIME) FILTER (WHERE minute(ts) <> 59) + DATE '2000-01-01', '%H:%M:%S') AS earliest, strftime(max(ts::TIME) FILTER (WHERE minute(ts) <> 59) + DATE '2000-01-01', '%H:%M:%S') AS latest FROM events")
 def time_of_day_stats(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.expr("CASE WHEN user_id > 100 THEN '25:61' ELSE date_format(ts, 'H:mm:ss') END").alias("t"))
-    r = univariate.time_profile(df, "t")
+    r = univariate.time_profile(_clocks(spark, sf_dir), "t")
     return spark.createDataFrame([(r["count"], r["earliest"], r["latest"])], "count long, earliest string, latest string")
 
 
@@ -220,10 +223,29 @@ def datetime_frequency(spark, sf_dir):
     return spark.createDataFrame([("d", univariate.datetime_frequency(df, "d"))], "column string, frequency string")
 
 
-@query()
+def _uniform(spark: bool) -> list[str]:
+    """Twelve values for each event, from three digests; their sum is nearly normal, so p is neither 0 nor 1 on few rows."""
+    words = [(f"md5(concat(event_id, 's{k // 4}'))", 1 + 8 * (k % 4)) for k in range(12)]
+    return [f"CAST(conv(substr({m}, {at}, 8), 16, 10) AS DOUBLE) / 4294967296" if spark else f"CAST(CAST('0x' || substr({m}, {at}, 8) AS BIGINT) AS DOUBLE) / 4294967296" for m, at in words]
+
+
+def _normal_columns(spark: bool) -> dict[str, str]:
+    return {"near_normal": " + ".join(_uniform(spark)), "one_uniform": _uniform(spark)[0]}
+
+
+def _normality_sql(column: str, x: str) -> str:
+    return f"""SELECT * FROM (WITH m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x) AS a FROM (SELECT {x} AS x FROM events)),
+d AS (SELECT any_value(n) AS n, avg(pow(x - a, 3)) / pow(avg(pow(x - a, 2)), 1.5) AS g1, avg(pow(x - a, 4)) / pow(avg(pow(x - a, 2)), 2) AS b2 FROM (SELECT {x} AS x FROM events), m),
+s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS k, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM d),
+t AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS f FROM s),
+z AS (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * f) - cbrt((1 - 2 / f) / (1 + k * sqrt(2 / (f - 4))))) / sqrt(2 / (9 * f)) AS z2 FROM t)
+SELECT '{column}' AS "column", round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p FROM z)"""
+
+
+@query(" UNION ALL ".join(_normality_sql(c, x) for c, x in _normal_columns(False).items()))
 def normality_tests(spark, sf_dir):
-    p = univariate.normality(table(spark, sf_dir, "lineitem"), LINE)
-    return spark.createDataFrame(list(p.items()), "column string, p double")
+    p = univariate.normality(table(spark, sf_dir, "events").selectExpr(*(f"{x} AS {c}" for c, x in _normal_columns(True).items())), list(_normal_columns(True)))
+    return rounded(spark.createDataFrame(list(p.items()), "column string, p double"))
 
 
 @query("WITH p AS (" + _pearson_sql("lineitem", list(combinations(LINE, 2))) + ") SELECT var1, var2, r FROM p ORDER BY abs(r) DESC LIMIT 2")
@@ -231,12 +253,32 @@ def strongest_pairs(spark, sf_dir):
     return rounded(charts.strongest_pairs(table(spark, sf_dir, "lineitem"), list(combinations(LINE, 2)), 2))
 
 
-@query("SELECT * FROM (VALUES ('l_orderkey', 'numeric_continuous'), ('l_partkey', 'numeric_continuous'), ('l_suppkey', 'numeric_continuous'), ('l_linenumber', 'numeric_discrete'), ('l_quantity', 'numeric_continuous'), ('l_extendedprice', 'numeric_continuous'), ('l_discount', 'numeric_discrete'), ('l_tax', 'numeric_discrete'), ('l_returnflag', 'categorical'), ('l_linestatus', 'categorical'), ('l_shipdate', 'datetime')) t(\"column\", type)")
+def _type_sql(source: str, column: str) -> str:
+    """The rules that these tables meet: one value, a whole number that counts or names the rows, few or many numbers, moments, two
+    truth values, codes, free text, categories."""
+    return f"""SELECT '{column}' AS "column", CASE WHEN u <= 1 THEN 'constant' WHEN t LIKE 'TIMESTAMP%' THEN 'datetime'
+WHEN t <> 'VARCHAR' THEN CASE WHEN t IN ('INTEGER', 'BIGINT') AND u = n AND (u - 1.0) / (hi - lo) BETWEEN 0.9 AND 1 THEN 'identifier' WHEN u <= 20 THEN 'numeric_discrete' ELSE 'numeric_continuous' END
+ELSE 'categorical' END AS type FROM (SELECT any_value(typeof({column})) AS t, count(DISTINCT {column}) AS u, count({column}) AS n, TRY_CAST(max({column})::VARCHAR AS DOUBLE) AS hi, TRY_CAST(min({column})::VARCHAR AS DOUBLE) AS lo FROM {source})"""
+
+
+_LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(" UNION ALL ".join(_type_sql("lineitem", c) for c in _LINEITEM))
 def semantic_types(spark, sf_dir):
     found = types.infer_types(table(spark, sf_dir, "lineitem"))
     return spark.createDataFrame(list(found.items()), "column string, type string")
 
 
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query(" UNION ALL ".join(_type_sql("orders", c) for c in _ORDERS))
+def semantic_types_orders(spark, sf_dir):
+    found = types.infer_types(table(spark, sf_dir, "orders"))
+    return spark.createDataFrame(list(found.items()), "column string, type string")
+
+
 PINNED = "(SELECT CASE WHEN l_quantity <= 20 THEN 0 ELSE l_quantity * l_quantity END AS pinned, l_extendedprice AS price, l_quantity AS q FROM lineitem)"
 
 
@@ -366,16 +408,25 @@ def class_balance(spark, sf_dir):
     return rounded(target.class_balance(table(spark, sf_dir, "lineitem"), "l_returnflag"))
 
 
-@query()
+def _kruskal_sql(x: str) -> str:
+    return f"""SELECT '{x}' AS feature, 'kruskal_wallis' AS test, h AS statistic, exp(-h / 2) AS p, adjusted_eta AS effect, CAST(n AS BIGINT) AS rows FROM (WITH r AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS k FROM lineitem), t AS (SELECT sum(CAST(c AS DOUBLE) ** 3 - c) AS ties FROM (SELECT count(*) AS c FROM lineitem GROUP BY {x})), s AS (SELECT count(*) AS n, sum(k) AS s FROM r GROUP BY g), q AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(s * s / n) AS q FROM s) SELECT n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h FROM q, t), (SELECT adjusted_eta FROM ({_eta_sql("lineitem", [("l_returnflag", x)])}))"""
+
+
+#: Three classes, and categories of two values: both tests have two degrees of freedom, where p = exp(-statistic / 2).
+@query("SELECT feature, test, round(statistic, 4) AS statistic, round(p, 4) AS p, round(effect, 4) AS effect, rows FROM (" + " UNION ALL ".join(_kruskal_sql(x) for x in ("l_quantity", "l_extendedprice", "l_discount")) + " UNION ALL SELECT var1, 'chi2', chi2_yates, exp(-chi2_yates / 2), cramers_v, n FROM (" + _cramers_sql("lineitem", [("l_linestatus", "l_returnflag")]) + "))")
 def target_ranking(spark, sf_dir):
     report = target.analyze_target(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount"), "l_returnflag")
     return rounded(spark.createDataFrame([(r.feature, r.test, r.statistic, r.p, r.effect, r.rows) for r in report.relations], "feature string, test string, statistic double, p double, effect double, rows long"), 4)
 
 
-@query("SELECT abs(corr(l_quantity, l_quantity * 3 + l_tax)) > 0.99 AS leaks FROM lineitem")
+_LEAKY = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount", "noisy": "l_quantity * 3 + 12 * l_linenumber", "negative": "1 - l_quantity"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({x}, l_quantity * 3 + l_tax)) > 0.99 AS leaks FROM lineitem" for c, x in _LEAKY.items()))
 def leakage_numeric(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").selectExpr("l_quantity", "l_quantity * 3 + l_tax AS y")
-    return spark.createDataFrame([(bool(target.leaks(df, "y", ["l_quantity"])),)], "leaks boolean")
+    df = table(spark, sf_dir, "lineitem").selectExpr(*(f"{x} AS {c}" for c, x in _LEAKY.items()), "l_quantity * 3 + l_tax AS y")
+    found = target.leaks(df, "y", list(_LEAKY))
+    return spark.createDataFrame([(c, any(m.startswith(f"'{c}'") for m in found)) for c in _LEAKY], "feature string, leaks boolean")
 
 
 @query("WITH c AS (SELECT dense_rank() OVER (ORDER BY l_returnflag) AS a, dense_rank() OVER (ORDER BY lower(l_returnflag)) AS b FROM lineitem) SELECT count(*) FILTER (WHERE a = b) AS rows_on_diagonal, CAST(max(a) AS INT) AS n_x, CAST(max(b) AS INT) AS n_y, count(*) AS n_target FROM c")
@@ -461,13 +512,25 @@ def correlation_moments(spark, sf_dir):
     return rounded(spark.createDataFrame([(a, b, float(c[i, j])) for i, a in enumerate(LINE) for j, b in enumerate(LINE)], "var1 string, var2 string, r double"))
 
 
-@query()
+VIF = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount", "mix": "l_quantity + 4 * l_linenumber"}
+
+
+def _determinant(of: list[str]) -> str:
+    """The determinant of the correlations of some columns of VIF, written out."""
+    at, terms = [list(VIF).index(c) for c in of], []
+    for p in permutations(range(len(of))):
+        odd = sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p))) % 2
+        terms.append(("-" if odd else "+") + " * ".join("1" if a == b else f"r_{min(at[a], at[b])}_{max(at[a], at[b])}" for a, b in enumerate(p)))
+    return "(" + " ".join(terms) + ")"
+
+
+@query("WITH c AS (SELECT " + ", ".join(f"corr({VIF[a]}, {VIF[b]}) AS r_{list(VIF).index(a)}_{list(VIF).index(b)}" for a, b in combinations(VIF, 2)) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{x}' AS \"column\", round({_determinant([y for y in VIF if y != x])} / {_determinant(list(VIF))}, 6) AS vif FROM c" for x in VIF))
 def vif(spark, sf_dir):
-    report = collinearity.analyze_collinearity(table(spark, sf_dir, "lineitem").select(*LINE), dict.fromkeys(LINE, "numeric_continuous"))
+    report = collinearity.analyze_collinearity(table(spark, sf_dir, "lineitem").selectExpr(*(f"{x} AS {c}" for c, x in VIF.items())), dict.fromkeys(VIF, "numeric_continuous"))
     return rounded(spark.createDataFrame(list(report.vif.items()), "column string, vif double"))
 
 
-@query("SELECT 'total = l_quantity + l_linenumber + l_suppkey' AS equation, count(*) AS n_rows, count(*) AS rows_checked FROM lineitem")
+@query("SELECT 'total = l_quantity + l_linenumber + l_suppkey' AS equation, count(*) FILTER (WHERE abs(total - (a + b + c)) <= 1e-9 * greatest(1, size)) AS n_rows, count(*) AS rows_checked FROM (SELECT l_quantity AS a, l_linenumber AS b, l_suppkey AS c, l_quantity + l_linenumber + l_suppkey AS total, avg(abs(l_quantity + l_linenumber + l_suppkey)) OVER () AS size FROM lineitem)")
 def exact_identity_rows(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").selectExpr("l_quantity", "CAST(l_linenumber AS DOUBLE) AS l_linenumber", "CAST(l_suppkey AS DOUBLE) AS l_suppkey", "l_quantity + l_linenumber + l_suppkey AS total")
     report = collinearity.analyze_collinearity(df, dict.fromkeys(df.columns, "numeric_continuous"))

@@ -10,14 +10,12 @@ from ..functions.columns import col
 UNITS = ("day", "week", "month", "year")
 
 
-def rows_per_period(stream: DataFrame, column: str, unit: str, lateness: str = "7 days") -> DataFrame:
+def rows_per_period(stream: DataFrame, column: str, unit: str) -> DataFrame:
     """period, n of a streaming table, for update or complete output.
 
-    Rows later than `lateness` behind the newest moment are dropped, which bounds the state. Periods without rows
-    have no row here: a stream has no last period, so the reader fills them in as the batch operator does.
+    Every row counts, however late, as the state is one row for each period that there is. Periods without rows have
+    no row here: a stream has no last period, so the reader fills them in as the batch operator does.
     """
     if unit not in UNITS:
         raise ValueError(f"unit must be one of {UNITS}")
-    moment = col(column).cast("timestamp")
-    start = F.date_trunc(unit, F.col("__at"))
-    return stream.select(moment.alias("__at")).withWatermark("__at", lateness).groupBy(start.alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    return stream.groupBy(F.date_trunc(unit, col(column).cast("timestamp")).alias("period")).agg(F.count(F.lit(1)).alias("n")).where("period IS NOT NULL")

@@ -302,3 +302,29 @@ def test_transform_outcomes():
     t.log1p_skew, t.yeo_johnson_skew = None, 0.5
     assert shape.outcome(t, "log1p") is shape.Outcome.IMPOSSIBLE and shape.outcome(t, "yeo_johnson") is shape.Outcome.SKEWED
     assert "can't" in shape.verdict_text(t, "log1p") and "0.50" in shape.verdict_text(t, "yeo_johnson")
+
+
+def test_top_share_below_a_majority(spark):
+    df = frame(spark, a=["x"] * 5 + ["y"] * 3 + ["z"] * 4, b=[None] * 6 + ["p"] * 2 + ["q"] * 4, c=list(map(str, range(12))))
+    got = {r["column"]: r for r in quality.constants(df, threshold=0.4).collect()}
+    assert got["a"]["top_share"] == pytest.approx(5 / 12) and got["a"]["quasi_constant"]
+    assert got["b"]["top_share"] == pytest.approx(4 / 12) and not got["b"]["quasi_constant"] and got["c"]["top_share"] == pytest.approx(1 / 12)
+    assert quality.constants(df.limit(0)).where("top_share IS NULL").count() == 3
+
+
+def test_counters_with_a_row_order(spark):
+    df = spark.range(2000).selectExpr("id AS row", "id * 1 + 5 AS counter", "pmod(id * 7919, 2003) AS mixed", "CASE WHEN id % 15 = 0 THEN id + 9 ELSE id END AS mostly", "CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS gaps").repartition(7)
+    assert types._counters(df, ["counter", "mixed", "gaps"], "row") == {"counter", "gaps"}  # steps from or to a null are none
+    assert types._counters(df.limit(0), ["counter"], "row") == set()
+    assert "mostly" not in types._counters(df, ["mostly"], "row")
+
+
+def test_pearson_with_nulls_constants_and_large_offsets(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e9, 1, 400)
+    p = pd.DataFrame({"x": x, "y": x * 2 + rng.normal(0, 1, 400), "flat": np.full(400, 0.1), "holes": np.where(rng.random(400) < 0.3, np.nan, rng.normal(size=400) + x), "few": [1.0, 2.0] + [np.nan] * 398})
+    pairs = [(a, b) for i, a in enumerate(p.columns) for b in p.columns[i + 1 :]]
+    for r in relationships.pearson_pairs(spark.createDataFrame(p), pairs).collect():
+        both = p[[r["var1"], r["var2"]]].dropna()
+        want = both.corr().iloc[0, 1] if len(both) >= 3 and "flat" not in (r["var1"], r["var2"]) else None
+        assert r["n"] == len(both) and (r["r"] is None if want is None else r["r"] == pytest.approx(want, abs=1e-6))

@@ -10,7 +10,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(2):
         base.where(f"pmod(hash(t), 2) = {i}").write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = rows_per_period(stream, "t", "week", "400 days").writeStream.outputMode("complete").format("memory").queryName("weeks").start()
+    q = rows_per_period(stream, "t", "week").writeStream.outputMode("complete").format("memory").queryName("weeks").start()
     q.processAllAvailable()
     q.stop()
     got = {(str(r["period"])[:10], r["n"]) for r in spark.table("weeks").collect()}
