@@ -14,7 +14,8 @@ from .relationships import eta_pairs, pearson_pairs
 #: Bins, categories, seed and the rows, columns, periods and classes that charts take.
 BINS, TOP, SEED = 30, 20, 42
 SCATTER_ROWS, MASK_ROWS, PAIR_ROWS, PAIR_COLUMNS, PERIODS = 1000, 500, 2000, 6, 120
-PIE_LEAST, PIE_MOST = 2, 6
+PIE_LEAST, PIE_MOST, PIE_LABEL = 2, 6, 0.05
+CALENDARS = 5  # date columns drawn
 BAR_CLASSES, BAR_TOP = 12, 9
 
 
@@ -51,6 +52,21 @@ def boxes(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFra
     return df.sparkSession.createDataFrame([(c, *quarts[c], row[f"l_{i}"], row[f"h_{i}"]) for i, c in enumerate(some)], "column string, q25 double, median double, q75 double, low_whisker double, high_whisker double")
 
 
+def class_boxes(df: DataFrame, column: str, target: str, most: int = BAR_CLASSES) -> DataFrame:
+    """boxes() of a numeric column within each class of the target, for up to `most` classes; `column` names the class."""
+    classes = [r["category"] for r in counts(df, target).orderBy("category").limit(most + 1).collect()]
+    if not classes or len(classes) > most:
+        return boxes(df, [])
+    each = df.select(*(F.when(col(target).cast("string") == F.lit(c), number(column)).alias(f"c{i}") for i, c in enumerate(classes)))
+    name = F.array(*map(F.lit, classes))
+    return boxes(each, each.columns).withColumn("column", F.get(name, F.substring("column", 2, 10).cast("int")))
+
+
+def target_distribution(df: DataFrame, target: str, kind: str) -> DataFrame:
+    """counts() of a target of classes, histogram() of another."""
+    return counts(df, target) if kind == "classification" else histogram(df, target)
+
+
 def counts(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column).cast("string").alias("category")).where("category IS NOT NULL").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 

@@ -31,6 +31,7 @@ class QualityReport:
     missing_per_column: dict[str, float] = field(default_factory=dict)
     missing_per_row: dict[int, int] = field(default_factory=dict)  # missing cells in a row -> rows
     duplicates: int = 0
+    duplicate_members: int = 0  # all rows of groups of equal rows
     duplicate_rows: DataFrame | None = None
     constant_columns: list[str] = field(default_factory=list)
     quasi_constant_columns: dict[str, float] = field(default_factory=dict)
@@ -137,7 +138,7 @@ def analyze_quality(df: DataFrame, types: dict[str, str] | None = None, *, missi
     out.missing_per_row = {r["n_missing"]: r["n_rows"] for r in missing_per_row(df).collect()}
     if empty := out.missing_per_row.get(len(df.columns), 0):
         out.alerts.append(Alert("high", None, f"{empty} rows have no value at all", "Remove them"))
-    out.duplicates = duplicate_counts(df).first()["n_duplicates"]
+    out.duplicates, out.duplicate_members, _ = duplicate_counts(df).select("n_duplicates", "n_member_rows", "n_groups").first()
     groups = duplicate_groups(df)
     out.duplicate_rows = groups.select(*(col(c) for c in df.columns), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
     if out.duplicates:

@@ -39,6 +39,8 @@ class Analysis:
     placeholders: dict[str, dict[str, int]] = field(default_factory=dict)
     lost: dict[str, int] = field(default_factory=dict)
     unknown: list[str] = field(default_factory=list)
+    ignored: list[str] = field(default_factory=list)
+    chart_notes: dict[str, str] = field(default_factory=dict)  # charts that don't show every column, and which they do
     quality: quality.QualityReport = field(default_factory=quality.QualityReport)
     numeric: dict[str, dict] = field(default_factory=dict)
     categorical: dict[str, dict] = field(default_factory=dict)
@@ -127,6 +129,8 @@ def _charts(df: DataFrame, a: Analysis, c: Config) -> None:
     v, t = c.visualizations, a.target.target if a.target else None
     effects = {r.feature: r.effect or 0.0 for r in a.target.relations} if a.target else None
     cont = a.of("numeric_continuous")
+    logs = {x for x, s in a.log_scale.items() if s and s.needed}
+    classes = chart_data.class_order(list(a.target.balance.counts)) if a.target and a.target.balance else []
 
     def draw(name: str, make: Callable[[], Any]) -> None:
         try:
@@ -135,6 +139,11 @@ def _charts(df: DataFrame, a: Analysis, c: Config) -> None:
         except Exception:
             log.exception("chart %s failed", name)
 
+    for name, names, most in (("histograms", cont, v.max_histograms), ("boxplots", a.numbers, v.max_boxplots), ("correlation_heatmap", a.numbers, v.max_correlation_heatmap_size)):
+        if note := chart_data.choose_columns(names, most, t, effects)[1]:
+            a.chart_notes[name] = note
+    draw("correlations", lambda: {(x, y): 1.0 if x == y else a.correlations.get((x, y)) for some in [chart_data.choose_columns(a.numbers, v.max_correlation_heatmap_size, t, effects)[0]] if len(some) > 1 for x in some for y in some})
+    draw("associations", lambda: a.associations)
     for x in chart_data.choose_columns(cont, v.max_histograms, t, effects)[0]:
         draw(f"histogram_{x}", lambda x=x: [tuple(r) for r in chart_data.histogram(df, x).orderBy("bin").collect()])
         if (s := a.log_scale.get(x)) and s.needed:
@@ -142,28 +151,40 @@ def _charts(df: DataFrame, a: Analysis, c: Config) -> None:
         elif (s := a.floor_split.get(x)) and s.needed:
             draw(f"histogram_rest_{x}", lambda x=x, s=s: [tuple(r) for r in chart_data.histogram(df, x, x=F.when(col(x) > s.floor, col(x).cast("double"))).orderBy("bin").collect()])
     if some := chart_data.choose_columns(a.numbers, v.max_boxplots, t, effects)[0]:
+        logged, split = ([x for x in some if (got := checks.get(x)) and got.needed] for checks in (a.log_scale, a.floor_split))
+        split = [x for x in split if x not in logged]
         draw("boxes", lambda: [tuple(r) for r in chart_data.boxes(df, some).collect()])
+        draw("boxes_log", lambda: [tuple(r) for r in chart_data.boxes(df.select(*(F.when(col(x) > 0, F.log10(col(x).cast("double"))).alias(x) for x in logged)), logged).collect()] if logged else None)
+        draw("boxes_rest", lambda: [tuple(r) for r in chart_data.boxes(df.select(*(F.when(col(x) > a.floor_split[x].floor, col(x).cast("double")).alias(x) for x in split)), split).collect()] if split else None)
     for x in a.of("categorical", "boolean"):
         draw(f"bars_{x}", lambda x=x: [tuple(r) for r in chart_data.bars(df, x).orderBy(F.desc("n")).collect()])
         if chart_data.PIE_LEAST <= (a.categorical.get(x) or {}).get("nunique", 0) <= chart_data.PIE_MOST:
             draw(f"shares_{x}", lambda x=x: [tuple(r) for r in chart_data.shares(df, x).orderBy(F.desc("n")).collect()])
         if t and a.target.kind == "classification" and x != t and len(a.target.balance.counts if a.target.balance else {}) <= chart_data.BAR_CLASSES:
-            draw(f"class_bars_{x}", lambda x=x: [tuple(r) for r in chart_data.class_bars(df, x, t).collect()])
+            draw(f"class_bars_{x}", lambda x=x: sorted((tuple(r) for r in chart_data.class_bars(df, x, t).collect()), key=lambda r: (classes.index(r[0]), r[1] == "Other", r[1])))
+    if t and a.target.kind in ("classification", "regression"):
+        draw(f"target_{t}", lambda: [tuple(r) for r in chart_data.target_distribution(df, t, a.target.kind).collect()])
+        for x in chart_data.choose_columns([x for x in cont if x != t], v.max_boxplots, t, effects)[0] if a.target.kind == "classification" else ():
+            draw(f"class_boxes_{x}", lambda x=x: sorted((tuple(r) for r in chart_data.class_boxes(df, x, t).collect()), key=lambda r: classes.index(r[0])))
     draw("missing", lambda: [[bool(x) for x in r] for r in chart_data.missing_mask(df).collect()])
     best = [p for p in a.numeric_pairs if p["var1"] in cont and p["var2"] in cont][: v.max_scatter_pairs]
     for p in best:
-        draw(f"scatter_{p['var1']}_{p['var2']}", lambda p=p: [tuple(r) for r in chart_data.scatter(df, p["var1"], p["var2"]).collect()])
-    for x in a.of("datetime")[:5]:
+        draw(f"scatter_{p['var1']}_{p['var2']}", lambda p=p: {"points": [tuple(r) for r in chart_data.scatter(df, p["var1"], p["var2"]).collect()], "log": (p["var1"] in logs, p["var2"] in logs)})
+    for x in a.of("datetime")[: chart_data.CALENDARS]:
         from ..operators.types import to_moment
 
-        draw(f"periods_{x}", lambda x=x: [(str(r[0]), r[1]) for r in chart_data.rows_per_period(to_moment(df.select(col(x)), x), x).orderBy("period").collect()])
+        draw(f"periods_{x}", lambda x=x: [(str(r[0]), r[1]) for rows in chart_data.frame_of_period(to_moment(df.select(col(x)), x), [x]).values() for r in rows.orderBy("period").collect()])
     for x in a.of("time"):
         draw(f"hours_{x}", lambda x=x: sorted(a.time[x]["hour_counts"].items()))
     for x, s in (a.transforms.columns if a.transforms else {}).items():
         if s.method:
-            draw(f"qq_{x}", lambda x=x: list(zip(*shape.qq_points(df, col(x))[:2])))
+            y = F.log1p(col(x).cast("double")) if s.method == "log1p" else shape.yeo_johnson(col(x).cast("double"), s.lmbda)
+            draw(f"qq_{x}", lambda x=x, y=y: {when: [(float(p), float(q)) for p, q in zip(*shape.qq_points(df, v)[:2])] for when, v in (("before", col(x).cast("double")), ("after", y))})
     if a.pair_plot:
-        draw("pair_plot", lambda: [tuple(r) for r in chart_data.sample(df.select(*(col(x) for x in [*a.pair_plot.columns, *([a.pair_plot.hue] if a.pair_plot.hue else [])])).dropna(), a.pair_plot.rows).collect()])
+        shown = [*a.pair_plot.columns, *([a.pair_plot.hue] if a.pair_plot.hue else [])]
+        draw("pair_plot", lambda: {"columns": a.pair_plot.columns, "log": [], "rows": [tuple(r) for r in chart_data.sample(df.select(*(col(x) for x in shown)).dropna(), a.pair_plot.rows).collect()]})
+        if a.pair_plot.log and "pair_plot" in a.charts:
+            draw("pair_plot_log", lambda: a.charts["pair_plot"] | {"log": a.pair_plot.log})
 
 
 def _plan(a: Analysis, t: str | None) -> list[Recommendation]:
@@ -185,6 +206,7 @@ def analyze(df: DataFrame, config: Config | None = None, *, charts: bool = True,
     df, a.placeholders = replace_placeholders(df)
     a.types = infer_types(df, order=order, codes=c.data_quality.cardinality_threshold)
     df, a.types, a.lost, a.unknown = apply_overrides(df, a.types, c.column_types.wanted())
+    a.ignored = [x for x, kind in c.column_types.wanted().items() if kind == "ignore" and x not in a.unknown]
     df = df.drop(order) if order else df
     wanted = c.target.target_column
     if wanted and wanted not in df.columns and not batch_run:
@@ -246,10 +268,43 @@ def _plain(x: Any) -> Any:
 
 
 def summary(a: Analysis, name: str, run_id: str) -> dict:
-    out = _plain(a)
-    for big in ("charts", "preview", "frequencies"):
-        out.pop(big, None)
-    return {"dataset": name, "run_id": run_id, "made": datetime.now().isoformat(timespec="seconds"), "columns": len(a.types), **out}
+    """What summary.json holds. Its keys are a fixed format that other programs read."""
+    q, o, m, t = a.quality, a.outliers, a.collinearity, a.target
+    relations = None
+    if m:
+        relations = {"columns": m.columns, "rows_used": m.rows_used, "note": m.note, "chance_r_squared": m.chance_r_squared, "vif": m.vif, "explained_by": m.partners, "vif_after": m.vif_after}
+        relations["exact"] = [{"equation": c.equation, "rows": c.rows, "rows_checked": c.rows_checked} for c in m.exact]
+        relations["drops"] = [dataclasses.asdict(d) for d in m.drops]
+    marked = lambda checks: {c: dataclasses.asdict(x) for c, x in checks.items() if x and x.needed}
+    out = {
+        "dataset_name": name,
+        "correlation_id": run_id,
+        "timestamp": datetime.now().isoformat(),
+        "shape": [a.rows, len(q.missing_per_column) or len(a.types)],
+        "column_types": a.types,
+        "column_overrides": {"ignored_columns": a.ignored, "coercion_failures": a.lost, "unknown_columns": a.unknown},
+        "data_quality": {
+            **{k: getattr(q, k) for k in ("missing_per_column", "duplicates", "constant_columns", "quasi_constant_columns", "high_cardinality_columns", "mixed_type_columns")},
+            "duplicate_rows_count": q.duplicate_members,
+            "missing_placeholders": a.placeholders,
+        },
+        "alerts": [dataclasses.asdict(x) for x in q.alerts],
+        "univariate": {f"{kind}_columns": len(getattr(a, kind)) for kind in ("numeric", "categorical", "datetime", "time", "text")},
+        "relationships": {**{f"{kind}_pairs_count": len(getattr(a, f"{kind}_pairs")) for kind in ("numeric", "categorical", "mixed")}, "multicollinearity_vif": m.vif if m else {}},
+        "multicollinearity": relations,
+        "outliers": {"total_outlier_rows": o.union_count if o else 0, "isolation_forest": {"outlier_rows": o.forest_count if o else 0, "note": o.forest_note if o else None}},
+        "pair_plot": dataclasses.asdict(a.pair_plot) if a.pair_plot else None,
+        "log_scale_columns": marked(a.log_scale),
+        "floor_split_columns": marked(a.floor_split),
+        "transforms": {"columns": {c: dataclasses.asdict(x) for c, x in a.transforms.columns.items()}, "target": a.transforms.target and dataclasses.asdict(a.transforms.target)} if a.transforms else None,
+        "chart_columns": a.chart_notes,
+        "recommendations": [dataclasses.asdict(r) for r in a.recommendations],
+        "failed_steps": a.failed,
+    }
+    if t:
+        balance = t.balance and {"counts": t.balance.counts, "is_imbalanced": t.balance.imbalanced, "imbalance_ratio": t.balance.ratio}
+        out["target"] = {"target_column": t.target, "target_type": t.kind, "n_missing": t.missing, "class_balance": balance, "leakage_alerts": t.leakage}
+    return _plain(out)
 
 
 class Pipeline:
@@ -289,7 +344,7 @@ class Pipeline:
         return chart_data.sample(df, c.sample_size) if c.sample_size else df
 
     def one(self, path: Path, name: str, folder: Path, batch_run: bool = False) -> dict:
-        from .report import chart, file_name, page
+        from .report import chart, drawings, file_name, page
         from .tables import write_tables
 
         began = time.time()
@@ -301,8 +356,8 @@ class Pipeline:
         def draw() -> None:
             (folder / "charts").mkdir(exist_ok=True)
             for label, data in a.charts.items():
-                if (svg := chart(label, data)).startswith("<svg"):
-                    (folder / "charts" / f"{file_name(label, drawn)}.svg").write_text(svg.replace("<svg ", '<svg xmlns="http://www.w3.org/2000/svg" ', 1).split("</svg>")[0] + "</svg>", encoding="utf-8")
+                for svg in drawings(chart(label, data)):
+                    (folder / "charts" / f"{file_name(label, drawn)}.svg").write_text(svg, encoding="utf-8")
 
         for step, run in (("chart_files", draw), ("tables", lambda: tables.extend(write_tables(a, folder / "tables"))), ("html_report", lambda: html.write_text(page(a, name, self.run_id), encoding="utf-8"))):
             try:

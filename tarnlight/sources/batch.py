@@ -38,6 +38,10 @@ def skipped_text(skipped: dict[str, int], most: int = 10) -> str:
     return f"not entered: {', '.join(names)}{rest}; pass recursive to read them"
 
 
+#: Folders that say where files lie, not what they hold.
+CONTAINERS = frozenset("data raw dataset datasets input inputs files csv tmp temp downloads".split())
+
+
 def slug(text: str) -> str:
     return re.sub(r"[^\w.-]+", "_", text).strip("_.") or "data"
 
@@ -45,7 +49,7 @@ def slug(text: str) -> str:
 def names_of(paths: list[Path], top: str | Path) -> dict[Path, str]:
     """A name for each file: its stem, with its folder for splits; clashes take folders, then the extension, then a number."""
     top = Path(top)
-    plain = {p: slug(f"{p.parent.name}_{p.stem}") if p.stem.lower() in SPLITS and p.parent.name else slug(p.stem) for p in paths}
+    plain = {p: slug(f"{p.parent.name}_{p.stem}") if p.stem.lower() in SPLITS and p.parent.name and p.parent.name.lower() not in CONTAINERS else slug(p.stem) for p in paths}
     ways = [lambda p: plain[p], lambda p: slug("_".join(p.relative_to(top).with_suffix("").parts)), lambda p: slug("_".join(p.relative_to(top).parts).replace(".", "_"))]
     out = {p: ways[0](p) for p in paths}
     for way in ways[1:]:

@@ -21,14 +21,30 @@ def _real(path: str | Path) -> str:
     return str(path) if re.match(r"^[a-z0-9]+://", str(path)) else f"file://{Path(path).resolve()}"
 
 
+def valid_utf8(spark: SparkSession, path: str | Path) -> bool:
+    return not spark.read.text(_real(path)).where(~F.call_function("is_valid_utf8", F.col("value"))).limit(1).count()
+
+
+def goes_over_lines(spark: SparkSession, path: str | Path) -> bool:
+    """Whether a line has an odd number of quotes, as only a cell with a line's end inside leaves one open."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(_real(path)).where(quotes % 2 == 1).limit(1).count() > 0
+
+
 def load_csv(spark: SparkSession, path: str | Path, *, sep: str | None = None, charset: str | None = None, decimal: str | None = None) -> DataFrame:
-    """A CSV file with a header; what isn't given is detected. A decimal comma makes numbers of text columns."""
-    charset = charset or detect.encoding(path)
-    sep = sep or detect.delimiter(path, charset)
-    decimal = decimal or detect.decimal_sign(path, sep, charset)
+    """A CSV file with a header; what isn't given is detected. A decimal comma makes numbers of text columns.
+
+    A file is split among tasks unless a quoted cell goes over a line's end, which one pass over its lines finds out: only
+    then must one task read it.
+    """
+    if not charset and not detect.is_local(path) and valid_utf8(spark, path):
+        charset = "utf-8"  # found out by the executors; a local file is read through on the driver
+    charset = charset or detect.encoding(path, spark)
+    sep = sep or detect.delimiter(path, charset, spark)
+    decimal = decimal or detect.decimal_sign(path, sep, charset, spark)
     windows = charset.lower().replace("-", "").replace("_", "") in ("cp1252", "windows1252")
     # the reader takes few encodings: cp1252 is read as latin-1, and the characters where the two differ are put right
-    df = spark.read.csv(_real(path), header=True, sep=sep, encoding="iso-8859-1" if windows else charset, inferSchema=True, multiLine=True, escape='"')
+    df = spark.read.csv(_real(path), header=True, sep=sep, encoding="iso-8859-1" if windows else charset, inferSchema=True, multiLine=charset.lower().startswith(("utf-16", "utf-32")) or goes_over_lines(spark, path), escape='"')
     if windows:
         pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
         wrong, right = ("".join(x) for x in zip(*((a, b) for a, b in pairs if b)))
@@ -106,7 +122,7 @@ def normalise(df: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str | Path, *, sheet: str | int | None = None, sample_size: int | None = None) -> DataFrame:
     """Any supported file, normalised; with sample_size, that many rows of a larger one, the same on every run."""
     kind = detect.file_format(path)
-    if not re.match(r"^[a-z0-9]+://", str(path)) and not Path(path).exists():
+    if detect.is_local(path) and not Path(path).exists():
         raise FileNotFoundError(path)
     df = {"csv": load_csv, "parquet": load_parquet, "json": load_json}[kind](spark, path) if kind != "excel" else load_excel(spark, path, sheet)
     df = normalise(df)

@@ -1,5 +1,6 @@
 import json
 from pathlib import Path
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,8 @@ def test_batch_names(tmp_path):
     names = batch.names_of(found, tmp_path)
     assert len(found) == 4 and len({n.lower() for n in names.values()}) == 4 and "x_train" in names.values()
     assert batch.skipped_folders(tmp_path) == {"x": 1, "y": 1}
+    paths = [tmp_path / "raw" / "train.csv", tmp_path / "houses" / "test.csv"]
+    assert list(batch.names_of(paths, tmp_path).values()) == ["train", "houses_test"]  # a container's name says nothing
 
 
 def test_load_folder_leaves_out_what_fails(spark, tmp_path):
@@ -124,7 +127,52 @@ def test_pipeline_writes_outputs(spark, table, tmp_path):
     (src / "bad.json").write_text("{")
     got = Pipeline(Config.of({"input_folder": str(src), "output_dir": str(tmp_path / "out"), "target": {"target_column": "y"}}), spark).run()
     assert got["one"]["success"] and not got["bad"]["success"] and len(got["one"]["tables"]) == 7
-    assert json.loads(Path(got["one"]["summary_json"]).read_text())["rows"] == 300
+    made = json.loads(Path(got["one"]["summary_json"]).read_text())
+    assert made["shape"] == [300, 3] and made["dataset_name"] == "one" and made["data_quality"]["duplicate_rows_count"] >= made["data_quality"]["duplicates"]
+    assert made["target"]["class_balance"]["counts"].keys() == {"0", "1"} and set(made["column_types"]) == {"measure", "group", "y"} and made["univariate"]["numeric_columns"] == 1
+    files = sorted((tmp_path / "out").rglob("*.svg"))
+    assert len(files) >= 6 and all(ElementTree.fromstring(f.read_text(encoding="utf-8")).tag.endswith("svg") for f in files)
+
+
+def test_every_chart_is_drawn(spark):
+    rng = np.random.default_rng(1)
+    n = 400
+    x = rng.normal(size=n)
+    wide = np.exp(rng.normal(0, 2.5, n))
+    floor = np.where(rng.random(n) < 0.5, 0.0, np.exp(rng.normal(3, 1, n)))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "near": x + rng.normal(0, 0.3, n), "wide": wide, "floor": floor, "kind": rng.choice(["a", "b", "c"], n), "holes": np.where(rng.random(n) < 0.2, None, "v"), "when": pd.date_range("2020-01-01", periods=n), "once": pd.to_datetime(["2020-01-01"] * n), "label": np.where(x > 0, "10", "9")}))
+    a = analyze(df, Config.of({"target": {"target_column": "label"}, "visualizations": {"max_correlation_heatmap_size": 3}}))
+    assert a.failed == [] and a.log_scale["wide"].needed
+    for start in ("histogram_x", "histogram_log_wide", "boxes", "boxes_log", "bars_kind", "shares_kind", "class_bars_kind", "class_boxes_x", "target_label", "scatter_", "qq_", "periods_when", "correlations", "associations", "missing", "pair_plot"):
+        found = [k for k in a.charts if k.startswith(start)]
+        assert found, start
+        for k in found:
+            svgs = report.drawings(report.chart(k, a.charts[k]))
+            assert svgs and all(ElementTree.fromstring(s).tag.endswith("svg") for s in svgs), k
+    assert "periods_once" not in a.charts and "correlation_heatmap" in a.chart_notes
+    assert len({p for p, _ in a.charts["correlations"]}) == 3
+    assert set(next(v for k, v in a.charts.items() if k.startswith("qq_"))) == {"before", "after"}
+    assert [r[0] for r in a.charts["class_bars_kind"]] == sorted((r[0] for r in a.charts["class_bars_kind"]), key=float)
+    html = report.page(a, "t", "r")
+    assert 'href="#charts"' in html and 'id="charts"' in html
+
+
+def test_shares_and_slices():
+    svg = report.chart("shares_x", [("a", 96, 0.96), ("b", 4, 0.0395), ("c", 0, 0.0005)])
+    assert "96.0 %" in svg and "&lt;0.1 %" in svg and svg.count("<path") == 3 and svg.count('text-anchor="middle"') == 1
+    assert report.chart("scatter_x_y", {"points": [(1, -5), (10, 5), (None, 1)], "log": (True, True)}).count("<circle") == 1
+    assert report.chart("boxes", []) == "" and report.chart("unknown", [1]) == ""
+
+
+def test_csv_cells_over_lines_and_other_paths(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"one\ntwo"\n2,"say ""x"""\n')
+    (tmp_path / "b.csv").write_text("id;t\n" + "".join(f"{i};é{i}\n" for i in range(2000)))
+    (tmp_path / "c.csv").write_bytes("id;v\n1;caf\xe9 1,5\n2;x\n".encode("cp1252"))
+    assert load.goes_over_lines(spark, tmp_path / "a.csv") and not load.goes_over_lines(spark, tmp_path / "b.csv")
+    assert [tuple(r) for r in load.load_csv(spark, tmp_path / "a.csv").collect()] == [(1, "one\ntwo"), (2, 'say "x"')]
+    for p in ("a.csv", "b.csv", "c.csv"):  # a path with a scheme goes through the session's file systems
+        there = load.load_csv(spark, f"file://{tmp_path / p}")
+        assert there.collect() == load.load_csv(spark, tmp_path / p).collect() and there.columns[0] == "id"
 
 
 def test_plan_rules():
