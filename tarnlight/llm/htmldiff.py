@@ -19,7 +19,8 @@ Differencing alone, without hints, is there as hints=False; README says how far
 
 Defined cases: a null or empty html gives an empty text; a url without host is paired with none; a null id is
 carried; repeated rows each give a row (and are copies); a page with no other partner than copies keeps its lines; other columns are ignored; an empty
-table gives no rows. Pairing doesn't depend on the partitions: up to four pages of each are carried to the others.
+table gives no rows. Pairing doesn't depend on the partitions: a first pass over outlines (hashes and lengths of lines)
+finds up to four pages at the edges of each part, which are carried to the others.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from __future__ import annotations
 import json
 import pickle
 import re
+import struct
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 from html import unescape
 from itertools import groupby, islice
 from typing import NamedTuple
@@ -269,10 +272,18 @@ def _prefix(v: int, m: int) -> list[int]:
     return out
 
 
+class Mark(NamedTuple):
+    """What stands for a line's text where only equality and length count."""
+
+    hash: int
+    size: int
+
+
 def overlap(a: list[Line], b: list[Line]) -> tuple[int, int, int]:
     """Characters of a, of b, and of lines they have both, in whatever order."""
     x, y = Counter(t for t, _ in a), Counter(t for t, _ in b)
-    return sum(len(t) for t, _ in a), sum(len(t) for t, _ in b), sum(len(t) * min(n, y[t]) for t, n in x.items() if t in y)
+    size = lambda t: t.size if isinstance(t, Mark) else len(t)
+    return sum(size(t) for t, _ in a), sum(size(t) for t, _ in b), sum(size(t) * min(n, y[t]) for t, n in x.items() if t in y)
 
 
 def copies(a: list[Line], b: list[Line]) -> bool:
@@ -321,11 +332,40 @@ class Page(NamedTuple):
         return [tuple(x) for x in json.loads(data.decode("utf-8", "surrogatepass"))]
 
 
-def packed(lines: list[Line]) -> bytes:
-    data = json.dumps(lines, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+def written(lines: list[Line]) -> bytes:
+    return json.dumps(lines, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+
+
+def packed(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", 9).compress(data, asbytes=True)
 
 
+def digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=8).digest()
+
+
+class Outline(NamedTuple):
+    """A page without its text: enough to tell copies, and to find the page again."""
+
+    url: str | None
+    host: str
+    path: str
+    key: str
+    print: bytes  # of its lines
+    marks: bytes  # of its lines without hints
+
+    def lines(self) -> list[tuple[Mark, int]]:
+        return [(Mark(*x), 0) for x in struct.iter_unpack("<QI", self.marks)]
+
+    @property
+    def packed(self) -> bytes:
+        return self.print
+
+
+def marks_of(lines: list[Line]) -> bytes:
+    return b"".join(digest(t.encode("utf-8", "surrogatepass")) + len(t).to_bytes(4, "little") for t, p in lines if p != HINTED)
+
+
 def together(a: Page, b: Page) -> bool:
     """Whether neighbours belong to one run."""
     return bool(a.host) and a.host == b.host and (a.packed == b.packed or copies(a.lines(), b.lines()))
@@ -419,28 +459,66 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     cuts = bounds(source.select(*order), n)
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_chars", "n_lines", "n_shared_lines", "n_hinted_lines"))])
     arrow = to_arrow_schema(schema)
-    parsed = T.StructType([*source.schema.fields[:5], T.StructField("__packed", T.BinaryType()), T.StructField("__part", T.IntegerType())])
+    found_by = [T.StructField("__print", T.BinaryType()), T.StructField("__part", T.IntegerType())]
+    parsed = T.StructType([*source.schema.fields[:4], *found_by, T.StructField("__packed", T.BinaryType())])
+    outlined = T.StructType([*source.schema.fields[1:5], *found_by, T.StructField("__marks", T.BinaryType())])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, url, host, path, key, html = (c.to_pylist() for c in batch.columns)
-            lines = pa.array([packed(page_lines(x, hints)) for x in html], pa.binary())
-            part = pa.array([bisect_right(cuts, (h, p, u or "", k)) for h, p, u, k in zip(host, path, url, key)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lines, part], names=parsed.names)
+    def part_of(host: str, path: str, url: str | None, key: str) -> int:
+        return bisect_right(cuts, (host, path, url or "", key))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[Page]]]:
-        rows = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
-        for k, own in groupby(rows, lambda x: x[6]):
-            yield k, (Page(i, u, h, p, lines) for i, u, h, p, _, lines, _ in own)
+    def read(whole: bool) -> Callable:
+        """Pages as rows of `parsed`, or of `outlined`."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, *rest = batch.columns
+                urls, hosts, paths, keys, html = (c.to_pylist() for c in rest)
+                lines = [page_lines(x, hints) for x in html]
+                data = [written(x) for x in lines]
+                part = pa.array([part_of(*x) for x in zip(hosts, paths, urls, keys)], pa.int32())
+                head, last = ([ids, *rest[:3]], map(packed, data)) if whole else (rest[:4], map(marks_of, lines))
+                yield pa.RecordBatch.from_arrays([*head, pa.array([digest(x) for x in data], pa.binary()), part, pa.array(last, pa.binary())], names=(parsed if whole else outlined).names)
+
+        return run
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        return (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, own in parts(batches):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "edges": pa.array([pickle.dumps(edges_of(own))], pa.binary())})
+        for k, own in groupby(rows_of(batches), lambda x: x[5]):
+            found = edges_of(Outline(u, h, p, key, mark, marks) for u, h, p, key, mark, _, marks in own)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "edges": pa.array([pickle.dumps(found)], pa.binary())})
 
-    # parts have fixed bounds, so that they hold the same pages in both passes
-    dealt = source.mapInArrow(parse, parsed).repartitionById(n, F.col("__part")).sortWithinPartitions("__part", *order, "__packed")
-    found = dealt.mapInArrow(edges, "part int, edges binary").collect()
-    carried = spark.sparkContext.broadcast(sides({r["part"]: pickle.loads(r["edges"]) for r in found}))
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # one of a task's equal pages is enough
+        for batch in batches:
+            for _, u, _, _, key, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if (u, key) in wanted.value:
+                    data = written(page_lines(html, hints))
+                    name = (u, key, digest(data))
+                    if name[2] in wanted.value[u, key] and name not in done:
+                        done.add(name)
+                        yield pa.RecordBatch.from_pydict({"u": pa.array([u], pa.string()), "k": [key], "p": pa.array([name[2]], pa.binary()), "packed": pa.array([packed(data)], pa.binary())})
+
+    # parts have fixed bounds and one order, so that they hold the same pages in both passes; the first sends outlines
+    # alone, and the few pages at the parts' edges are fetched by what was found there
+    outlines = source.mapInArrow(read(False), outlined).repartitionById(n, F.col("__part")).sortWithinPartitions("__part", *order, "__print")
+    around = sides({r["part"]: pickle.loads(r["edges"]) for r in outlines.mapInArrow(edges, "part int, edges binary").collect()})
+    named: dict[tuple[str | None, str], set[bytes]] = {}
+    for x in (x for both in around.values() for side in both for x in side if x):
+        named.setdefault((x.url, x.key), set()).add(x.print)
+    wanted = spark.sparkContext.broadcast(named)
+    whole = {}
+    if named:
+        got = source.mapInArrow(fetch, "u string, k string, p binary, packed binary").groupBy("u", "k", "p").agg(F.min("packed").alias("packed"))
+        whole = {(r["u"], r["k"], bytes(r["p"])): bytes(r["packed"]) for r in got.collect()}  # up to four for each part
+    real = lambda x: x and Page(None, x.url, x.host, x.path, whole[x.url, x.key, x.print])
+    carried = spark.sparkContext.broadcast({k: tuple(tuple(map(real, side)) for side in both) for k, both in around.items()})
+    dealt = source.mapInArrow(read(True), parsed).repartitionById(n, F.col("__part")).sortWithinPartitions("__part", "__host", "__path", "__url", F.coalesce(F.col("__id").cast("string"), F.lit("")), "__print")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[Page]]]:
+        for k, own in groupby(rows_of(batches), lambda x: x[5]):
+            yield k, (Page(i, u, h, p, lines) for i, u, h, p, _, _, lines in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = ((x.id, x.url, t, len(t), *n) for k, own in parts(batches) for x, before, after in paired(own, *carried.value.get(k, ())) for t, *n in [text_of(x, before, after)])
