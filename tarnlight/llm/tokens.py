@@ -2,7 +2,7 @@
 
 The ids are those of a byte-level BPE file of the `tokenizers` library. Where a rank file of the same
 vocabulary lies beside it, texts of characters below U+0250 take the faster library of that file; both
-give the same ids there (tests/llm/test_tokens.py compares them). A text with the literal form of a special
+give the same ids there (tests/llm/test_tokens_and_packing.py compares them). A text with the literal form of a special
 token, or with other characters, is encoded by `tokenizers`.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -65,7 +64,3 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
-
-
-def texts_of(batch, column: str) -> Sequence[str | None]:
-    return batch.column(column).to_pylist()

@@ -108,10 +108,29 @@ def test_secret_scan_equals_regexes(spark):
         assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(x[0] == n for x in want) for n in RX)
 
 
-def test_more_rules_and_empty(spark):
+@pytest.mark.parametrize("rule", secrets.BASE + secrets.MORE, ids=lambda r: r.name)
+def test_each_rule_equals_its_regex(rule):
+    whole = re.compile(f"{rule.head}(?P<body>{rule.body + '+' if rule.body else ''})", re.ASCII)
+    r = random.Random(rule.name)
+    heads = {"assign": ["token=", "api_key: '", "Secret  ="], "access": ["AKIA"], "hex": [""], "hosting": ["ghp_", "ghx_", "gho_"], "chat": ["xoxb-", "xoxz-"], "payment": ["sk_live_", "rk_test_", "sk_dev_"], "cloud": ["AIza", "AIz"], "bearer": ["Bearer ", "bearer  ", "bearer"], "webtoken": ["eyJab.eyJcd.", "eyJ.eyJ.", "eyJa.eyJ"], "private_key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN RSA2 PRIVATE KEY-----"]}[rule.name]
+    bits = [*heads * 3, "a1B2", "0123456789abcdef", "ABCDEF0123", "-", "_", ".", "=", " ", "\n", "é", "日本", "z" * 9]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(2000)]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    found = secrets.scanner(secrets.BASE + secrets.MORE).spans(np.frombuffer(b"".join(data), np.uint8), offsets)
+    k, hits = (secrets.BASE + secrets.MORE).index(rule), 0
+    for t, spans in zip(texts, found):
+        want = [m.span() for m in whole.finditer(t) if m[0] and len(m['body']) >= (rule.least if rule.body else 0)]
+        assert [(s, e) for s, e, own in spans if own == k] == want, t
+        hits += len(want)
+    assert hits > 10
+
+
+def test_several_rules_in_one_text_and_empty(spark):
     t = f"ghp_{'a' * 36} then Bearer {'x' * 24} -----BEGIN RSA PRIVATE KEY----- sk_live_{'9' * 20}"
     df = spark.createDataFrame([(1, t)], SCHEMA)
-    assert [s["kind"] for s in secrets.scan(df).first()["spans"]] == ["hosting", "bearer", "private_key", "payment"] or {s["kind"] for s in secrets.scan(df).first()["spans"]} >= {"hosting", "bearer", "private_key", "payment"}
+    want = [("hosting", "ghp_" + "a" * 36), ("hex", "a" * 36), ("bearer", "Bearer " + "x" * 24), ("private_key", "-----BEGIN RSA PRIVATE KEY-----"), ("payment", "sk_live_" + "9" * 20)]
+    assert [(s["kind"], t[s["start"] : s["end"]]) for s in secrets.scan(df).first()["spans"]] == want
     assert secrets.scan(df.limit(0)).count() == 0
 
 
