@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, number, ratio, stacked
 from ..functions.distributions import chi2_tail, correlation_p
-from ..functions.quantiles import _wide, running
+from ..functions.quantiles import _wide, running, small
 
 #: Weakest association shown; rows of a pair; columns of a matrix.
 FLOOR, LEAST_ROWS, MOST_COLUMNS = 0.05, 3, 30
@@ -168,6 +169,28 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return one.select(F.lit(group).alias("group"), F.lit(value).alias("value"), F.coalesce("n", F.lit(0)).alias("n"), "groups", F.when((F.col("groups") >= 2) & (F.col("n") >= 2), h).alias("h"))
 
 
+def kruskal_many(df: DataFrame, group: str, numbers: list[str]) -> DataFrame:
+    """kruskal() of many columns by one group. One shuffle counts the values of all; where those counts are many, each column
+    is ranked by itself inside cuts."""
+    spark = df.sparkSession
+    if not numbers:
+        return spark.createDataFrame([], "`group` string, value string, n long, groups long, h double")
+    cell = F.array(*(F.struct(F.lit(i).alias("i"), number(c).cast("double").alias("x")) for i, c in enumerate(numbers)))
+    cells = df.select(col(group).cast("string").alias("g"), F.inline(cell)).where("g IS NOT NULL AND x IS NOT NULL").groupBy("i", "x", "g").agg(F.count(F.lit(1)).alias("n"))
+    if not small(df):
+        return reduce(DataFrame.unionByName, [kruskal(df, group, c) for c in numbers])
+    by_value = Window.partitionBy("i", "x")
+    ranked = cells.withColumn("t", F.sum("n").over(by_value)).withColumn("first", F.row_number().over(by_value.orderBy("g")) == 1)
+    upto = F.sum(F.when(F.col("first"), F.col("t")).otherwise(0)).over(Window.partitionBy("i").orderBy("x"))  # a window of counts, of a table that is small
+    ranked = ranked.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    tie = F.when(F.col("first"), F.pow(F.col("t").cast("double"), 3) - F.col("t"))
+    sums = ranked.groupBy("i", "g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("s"), F.sum(tie).alias("ties"))
+    one = sums.groupBy("i").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("ties").alias("ties"))
+    n = F.col("n").cast("double")
+    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.nullif(1 - F.try_divide(F.col("ties"), n * n * n - n), F.lit(0.0))
+    return one.select(F.lit(group).alias("group"), F.get(F.array(*map(F.lit, numbers)), F.col("i")).alias("value"), "n", "groups", F.when((F.col("groups") >= 2) & (F.col("n") >= 2), h).alias("h"))
+
+
 def kruskal_p(h: float | None, groups: int) -> float | None:
     return None if h is None else chi2_tail(h, groups - 1)
 

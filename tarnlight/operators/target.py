@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.columns import col, is_number, is_text, number
 from ..functions.distributions import chi2_tail, correlation_p
-from .relationships import contingency, cramers_pairs, eta_pairs, kruskal, kruskal_p, pearson_pairs, spearman
+from .relationships import contingency, cramers_pairs, eta_pairs, kruskal, kruskal_many, kruskal_p, pearson_pairs, spearman
 
 #: Most classes, share of an imbalanced class, correlation of a leak; types without a test.
 CLASSES, IMBALANCE, LEAK = 20, 0.8, 0.99
@@ -80,30 +80,32 @@ def _as_number(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, col(name).cast("int")) if isinstance(df.schema[name].dataType, BooleanType) else df
 
 
-def relate(df: DataFrame, feature: str, target: str, numeric_target: bool) -> Relation | None:
-    """The test that fits the two columns' kinds; None where it can't be measured."""
-    df = _as_number(_as_number(df.select(col(feature), col(target)), feature), target) if feature != target else df
-    if _numeric(df, feature):
-        if numeric_target:
-            if not _numeric(df, target):
-                return None
-            r = spearman(df, feature, target).first()
-            return None if r["rho"] is None else Relation(feature, "spearman", r["rho"], correlation_p(r["rho"], r["n"]), abs(r["rho"]), r["n"])
-        k = kruskal(df, target, feature).first()
-        effect = eta_pairs(df.withColumn(target, col(target).cast("string")), [target], [feature]).first()
-        return None if k["h"] is None else Relation(feature, "kruskal_wallis", k["h"], kruskal_p(k["h"], k["groups"]), effect and effect["adjusted_eta"], k["n"])
+def relate(df: DataFrame, features: list[str], target: str, numeric_target: bool) -> list[Relation]:
+    """For each feature the test that fits the two columns' kinds, in passes over all features of a kind; a feature that can't
+    be measured is left out."""
+    if numeric_target and not _numeric(df, target):
+        return []
+    for c in {*features, target}:
+        df = _as_number(df, c)
+    numbers = [c for c in features if _numeric(df, c)]
+    texts = [c for c in features if c not in numbers]
+    out = []
     if numeric_target:
-        if not _numeric(df, target):
-            return None
-        k = kruskal(df, feature, target).first()
-        effect = eta_pairs(df, [feature], [target]).first()
-        return None if k["h"] is None else Relation(feature, "kruskal_wallis", k["h"], kruskal_p(k["h"], k["groups"]), effect and effect["adjusted_eta"], k["n"])
-    c = cramers_pairs(df, [(feature, target)]).first()
-    if c is None or c["n"] < 2:
-        return None
-    df_ = (c["r"] - 1) * (c["k"] - 1)
-    p = chi2_tail(c["chi2_yates"], df_) if df_ else 1.0
-    return Relation(feature, "chi2", c["chi2_yates"] if df_ else 0.0, p, c["cramers_v"], c["n"])
+        for c in numbers:
+            if (r := spearman(df, c, target).first())["rho"] is not None:
+                out.append(Relation(c, "spearman", r["rho"], correlation_p(r["rho"], r["n"]), abs(r["rho"]), r["n"]))
+        effect = {r["category"]: r["adjusted_eta"] for r in eta_pairs(df, texts, [target]).collect()}
+        tests = {c: kruskal(df, c, target).first() for c in texts}
+    else:
+        classes = df.withColumn("__class", col(target).cast("string"))
+        effect = {r["number"]: r["adjusted_eta"] for r in eta_pairs(classes, ["__class"], numbers).collect()} if numbers else {}
+        tests = {r["value"]: r for r in kruskal_many(classes, "__class", numbers).collect()}
+        for r in cramers_pairs(df, [(c, target) for c in texts]).collect():
+            if r["n"] >= 2:
+                free = (r["r"] - 1) * (r["k"] - 1)
+                out.append(Relation(r["var1"], "chi2", r["chi2_yates"] if free else 0.0, chi2_tail(r["chi2_yates"], free) if free else 1.0, r["cramers_v"], r["n"]))
+    out += [Relation(c, "kruskal_wallis", k["h"], kruskal_p(k["h"], k["groups"]), effect.get(c), k["n"]) for c, k in tests.items() if k["h"] is not None]
+    return sorted(out, key=lambda r: features.index(r.feature))
 
 
 def same_labels(df: DataFrame, feature: str, target: str) -> DataFrame:
@@ -142,7 +144,6 @@ def analyze_target(df: DataFrame, target: str, *, kind: str | None = None, types
     if kind == "classification":
         out.balance = balance_of(class_balance(df, target).collect(), threshold)
     features = [c for c in (features or df.columns) if c != target and (types or {}).get(c) not in UNTESTED]
-    got = [relate(df, c, target, kind != "classification") for c in features]
-    out.relations = sorted((r for r in got if r), key=lambda r: (-(r.effect or 0.0), float("inf") if r.p is None else r.p))
+    out.relations = sorted(relate(df, features, target, kind != "classification"), key=lambda r: (-(r.effect or 0.0), float("inf") if r.p is None else r.p))
     out.leakage = leaks(df, target, features)
     return out

@@ -14,6 +14,7 @@ from ..functions.quantiles import exact_quantiles, percentile, small
 TOP = 20
 GAP_DAYS, GAPS = 7, 5
 SHAPIRO_ROWS = 5000
+MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
 
 def moments(x: Column) -> dict[str, Column]:
@@ -154,7 +155,8 @@ def datetime_gaps(df: DataFrame, column: str, days: int = GAP_DAYS, most: int |
 
 
 def datetime_frequency(df: DataFrame, column: str, most: int = 100_000) -> str | None:
-    """D, h, min, s, W-<day>, MS, ME, YS or YE with its multiple if the values are regular and distinct, else None."""
+    """D, h, min, s, W-<day>, B, MS, ME, QS-<month>, QE-<month>, YS-<month> or YE-<month> with its multiple if the values are
+    regular and distinct, else None. A quarter is named by the month in which the year's quarters begin or end."""
     x = df.select(col(column).cast("timestamp_ntz").alias("x")).where("x IS NOT NULL")
     n, distinct, lo, hi = x.agg(F.count("x"), F.count_distinct("x"), F.min("x"), F.max("x")).first()
     if n < 3 or distinct < n:
@@ -173,6 +175,11 @@ def datetime_frequency(df: DataFrame, column: str, most: int = 100_000) -> str |
         return None
     if n > most:
         return None
+    whole = x.agg(F.count_if((F.col("x") != F.date_trunc("day", "x")) | F.dayofweek("x").isin(1, 7))).first()[0] == 0
+    days = (hi - lo).days
+    weekdays = days // 7 * 5 + sum((lo.weekday() + k) % 7 < 5 for k in range(days % 7 + 1))
+    if whole and n == weekdays:
+        return "B"
     every = x.select(F.trunc("x", "MM").alias("m"), (F.dayofmonth("x") == 1).alias("s"), (F.to_date("x") == F.last_day("x")).alias("e"))
     months, starts, ends = every.agg(F.count_distinct("m"), F.bool_and("s"), F.bool_and("e")).first()
     span = (hi.year - lo.year) * 12 + hi.month - lo.month
@@ -180,7 +187,13 @@ def datetime_frequency(df: DataFrame, column: str, most: int = 100_000) -> str |
         k, tail = span // (n - 1), "S" if starts else "E"
         steps = every.select(((F.year("m") - lo.year) * 12 + F.month("m") - lo.month).alias("k")).where(F.pmod(F.col("k"), F.lit(k)) != 0).limit(1).count()
         if not steps:
-            return ("Y" if k == 12 else "M") + tail if k in (1, 12) else f"{k}M{tail}"
+            if k % 12 == 0:
+                k, name = k // 12, f"Y{tail}-{MONTHS[lo.month - 1]}"
+            elif k % 3 == 0:
+                k, name = k // 3, f"Q{tail}-{MONTHS[9 + (lo.month - 1) % 3]}"
+            else:
+                name = f"M{tail}"
+            return name if k == 1 else f"{k}{name}"
     return None
 
 

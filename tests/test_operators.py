@@ -328,3 +328,29 @@ def test_pearson_with_nulls_constants_and_large_offsets(spark):
         both = p[[r["var1"], r["var2"]]].dropna()
         want = both.corr().iloc[0, 1] if len(both) >= 3 and "flat" not in (r["var1"], r["var2"]) else None
         assert r["n"] == len(both) and (r["r"] is None if want is None else r["r"] == pytest.approx(want, abs=1e-6))
+
+
+@pytest.mark.parametrize("freq", ["D", "2D", "h", "W-WED", "3W-MON", "B", "MS", "ME", "2MS", "QS-OCT", "QE-DEC", "QS-NOV", "2QS-DEC", "YS-JAN", "YE-DEC", "YS-MAR", "2YS-JUL"])
+def test_frequency_names_equal_pandas(spark, freq):
+    days = pd.date_range("2019-01-03", periods=24, freq=freq)
+    assert univariate.datetime_frequency(frame(spark, d=days), "d") == pd.infer_freq(days)
+
+
+def test_irregular_days_have_no_frequency(spark):
+    days = pd.bdate_range("2019-01-03", periods=30)
+    assert univariate.datetime_frequency(frame(spark, d=days.delete(7)), "d") is None
+    assert univariate.datetime_frequency(frame(spark, d=days + pd.Timedelta(hours=1)), "d") != "B"
+
+
+def test_kruskal_of_many_columns_equals_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    g = rng.choice(["a", "b", "c"], 300)
+    df = frame(spark, g=g, x=rng.integers(0, 9, 300).astype(float), y=rng.normal(size=300), z=np.where(rng.random(300) < 0.5, np.nan, 1.5), e=np.full(300, np.nan))
+    one = {c: relationships.kruskal(df, "g", c).first() for c in "xyz"}
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(relationships, "small", lambda d, n=limit: n > 0)
+        many = {r["value"]: r for r in relationships.kruskal_many(df, "g", ["x", "y", "z"]).collect()}
+        assert many.keys() == one.keys()
+        for c in one:
+            assert (many[c]["n"], many[c]["groups"]) == (one[c]["n"], one[c]["groups"]) and many[c]["h"] == (None if one[c]["h"] is None else pytest.approx(one[c]["h"]))
+    assert relationships.kruskal_many(df, "g", []).count() == 0
