@@ -5,7 +5,7 @@ must follow for the span to count. Matches are leftmost, longest and do not over
 match whose body is too short still uses up its text. All rules are compiled into one minimal automaton; its
 pass over the bytes gives the places where a rule's head and first body character (or its counted body) end. At
 such a place, a second and local step runs the reversed rule's own automaton to the leftmost start, and the rule's to the longest
-end; texts without such places, nearly all, are read once only. Spans are in code points, end exclusive.
+end; texts without such places are read once only. Spans are in code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; a null id is carried; repeated rows each give a row; other
 columns are ignored; an empty table gives no rows.
